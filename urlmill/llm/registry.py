@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality, topk
 
 QUERIES = {
+    "op7_quality_rules": quality.query,
     "op8_mix_sources": mixing.query,
+    "op9_exact_topk": topk.query,
 }
 ORACLES = {
+    "op7_quality_rules": quality.SQL,
     "op8_mix_sources": mixing.SQL,
+    "op9_exact_topk": topk.SQL,
 }
