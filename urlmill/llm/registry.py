@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, topk
+from . import mixing, quality, token_files, topk
 
 QUERIES = {
+    "op5_token_files": token_files.query,
     "op7_quality_rules": quality.query,
     "op8_mix_sources": mixing.query,
     "op9_exact_topk": topk.query,
