@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, token_files, topk
+from . import html, mixing, pii, quality, token_files, topk
 
 QUERIES = {
+    "op4_html_extract": html.query,
     "op5_token_files": token_files.query,
+    "op6_pii": pii.query,
     "op7_quality_rules": quality.query,
     "op8_mix_sources": mixing.query,
     "op9_exact_topk": topk.query,
