@@ -27,8 +27,7 @@ SEED = "mix-1"
 
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
-    one = F.regexp_replace(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")), " +", " ")
-    return F.coalesce(F.when(one == "", F.lit(0)).otherwise(F.length(one) - F.length(F.translate(one, " ", "")) + 1), F.lit(0)).cast("long")
+    return F.coalesce(F.size(F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
