@@ -39,12 +39,7 @@ GRIDS = {
 }
 RISK, CONFIDENCE = 0.02, 0.05
 MIN_WORDS, MAX_REPEAT = 50, 50
-SEPARATORS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-
-
-def _less(text: Column, drop: str, to: str = "") -> Column:
-    return F.translate(text, drop, to)
+SYMBOLS = "[#*$%&|<>]"
 
 
 def measures(docs: DataFrame, *keep: str) -> DataFrame:
@@ -52,10 +47,10 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         *keep,
-        F.filter(F.split(_less(text, SEPARATORS, " " * len(SEPARATORS)), " "), lambda w: w != "").alias("_words"),
-        F.filter(F.split(text, "\n"), lambda x: F.length(_less(x, SEPARATORS)) > 0).alias("_lines"),
-        F.length(_less(text, SEPARATORS)).alias("word_chars"),
-        (F.length(text) - F.length(_less(text, SYMBOLS))).alias("n_symbols"),
+        F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "").alias("_words"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("_lines"),
+        F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).alias("n_symbols"),
     )
     n = F.size("_words")
     hashed = base.select(
