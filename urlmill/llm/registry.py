@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import html, mixing, pii, quality, token_files, topk
+from . import chat, html, mixing, pieces, pii, quality, token_files, topk
 
 QUERIES = {
+    "op2_sentencepiece": pieces.query,
+    "op3_chat_format": chat.query,
     "op4_html_extract": html.query,
     "op5_token_files": token_files.query,
     "op6_pii": pii.query,
@@ -13,6 +15,7 @@ QUERIES = {
     "op9_exact_topk": topk.query,
 }
 ORACLES = {
+    "op3_chat_format": chat.SQL,
     "op7_quality_rules": quality.SQL,
     "op8_mix_sources": mixing.SQL,
     "op9_exact_topk": topk.SQL,
