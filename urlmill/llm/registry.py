@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, pieces, pii, quality, token_files, topk
+from . import chat, html, jaccard, mixing, pieces, pii, quality, token_files, topk
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.query,
     "op2_sentencepiece": pieces.query,
     "op3_chat_format": chat.query,
     "op4_html_extract": html.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_exact_topk": topk.query,
 }
 ORACLES = {
+    "op1_ngram_jaccard": jaccard.SQL,
     "op3_chat_format": chat.SQL,
     "op7_quality_rules": quality.SQL,
     "op8_mix_sources": mixing.SQL,
