@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html, jaccard, mixing, pieces, pii, quality, token_files, topk
+from . import chat, html, jaccard, mixing, pieces, pii, quality, substrings, token_files, topk
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality_rules": quality.query,
     "op8_mix_sources": mixing.query,
     "op9_exact_topk": topk.query,
+    "op10_substring_dedup": substrings.query,
 }
 ORACLES = {
     "op1_ngram_jaccard": jaccard.SQL,
@@ -21,4 +22,5 @@ ORACLES = {
     "op7_quality_rules": quality.SQL,
     "op8_mix_sources": mixing.SQL,
     "op9_exact_topk": topk.SQL,
+    "op10_substring_dedup": substrings.SQL,
 }
