@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .urls import bad_port, parse, port_of, strip, unquote
 
@@ -66,7 +67,7 @@ def classify_ip_v4(ip: Column) -> Column:
     return F.when(n.isNull(), "unparseable IP address").otherwise(v4_reason(n))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def classify_ip(ips):  # noqa: ANN001, ANN201
     """Why an IPv4 or IPv6 literal (one pair of brackets allowed) is no public host; '' if it is one."""
     import ipaddress

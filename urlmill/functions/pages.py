@@ -6,9 +6,11 @@ from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements whose content no reader sees.
 DROPPED = ("script", "style", "svg", "template", "noscript")
+SIGNALS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("forms", "password_inputs", "inputs", "links", "iframes")])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -76,7 +78,7 @@ def _read(html: str | None) -> _Reader | None:
     return r
 
 
-@F.pandas_udf("forms int, password_inputs int, inputs int, links int, iframes int")
+@F.pandas_udf(SIGNALS)
 def signals(html):  # noqa: ANN001, ANN201
     """Structural signals of pages, read by a parser."""
     import pandas as pd
@@ -84,7 +86,7 @@ def signals(html):  # noqa: ANN001, ANN201
     return pd.DataFrame([(_read(h) or _Reader()).counts for h in html])
 
 
-@F.udtf(returnType="ordinal int, text string, xpath string")
+@F.udtf(returnType=T.StructType().add("ordinal", "int").add("text", "string").add("xpath", "string"))
 class TextNodes:
     """Text nodes of a page with their paths, at most `most` of them (0: all)."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: scheme, authority, path, query, fragment (RFC 3986, appendix B)
 PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
@@ -137,7 +138,7 @@ def _encode(host: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_host(hosts):  # noqa: ANN001, ANN201
     """IDNA form of hosts: the 2008 rules where the idna package is there, the standard library's otherwise."""
     return hosts.map(_encode)
