@@ -99,7 +99,7 @@ def legacy_ipv4(host: Column) -> Column:
     last = F.try_element_at(nums, F.lit(-1))
     whole = F.forall(nums, lambda x: x.isNotNull()) & n.between(1, 4)
     heads = F.slice(nums, 1, n - 1)
-    room = F.expr("bigint(1)") * F.shiftleft(F.lit(1).cast("long"), (F.lit(32) - 8 * (n - 1)).cast("int"))
+    room = F.try_element_at(F.array(*[F.lit(1 << b).cast("long") for b in (32, 24, 16, 8)]), n)
     sums = F.aggregate(heads, F.lit(0).cast("long"), lambda s, x: s * 256 + x)
     fine = whole & F.forall(heads, lambda x: x <= 255) & (last < room)
     return F.when(fine, sums * room + last)

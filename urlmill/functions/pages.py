@@ -86,7 +86,7 @@ def signals(html):  # noqa: ANN001, ANN201
     return pd.DataFrame([(_read(h) or _Reader()).counts for h in html])
 
 
-@F.udtf(returnType=T.StructType().add("ordinal", "int").add("text", "string").add("xpath", "string"))
+@F.udtf(returnType=T.StructType().add("ordinal", T.IntegerType()).add("text", T.StringType()).add("xpath", T.StringType()))
 class TextNodes:
     """Text nodes of a page with their paths, at most `most` of them (0: all)."""
 

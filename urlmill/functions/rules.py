@@ -86,7 +86,7 @@ def risk_level(score: Column) -> Column:
 
 
 def with_http_penalty(score: Column, scheme: Column) -> Column:
-    return F.when(scheme == "http", F.least(F.lit(1.0), F.round(score + F.lit(HTTP_PENALTY), 4))).otherwise(score)
+    return F.when((scheme == "http") & score.isNotNull(), F.least(F.lit(1.0), F.round(score + F.lit(HTTP_PENALTY), 4))).otherwise(score)
 
 
 def verdict_for(classification: Column, page_score: Column) -> Column:

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import urls
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (urls,):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
