@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .urls import bad_port, parse, port_of, strip, unquote
+from .urls import bad_port, let, parse, port_of, strip, unquote
 
 # Endings of files that are no pages.
 FILE_EXTENSIONS = (
@@ -54,12 +54,16 @@ def _number(ip: str) -> int:
 
 def v4_reason(number: Column) -> Column:
     """Why an IPv4 number is no public host; '' if it is one."""
+    return let(number, _range_reason)
+
+
+def _range_reason(number: Column) -> Column:
     out = None
     for base, bits, reason in RANGES_V4:
         low = _number(base)
         inside = number.between(low, low + (1 << (32 - bits)) - 1)
         out = F.when(inside, reason) if out is None else out.when(inside, reason)
-    return out.otherwise("")
+    return F.when(number.isNotNull(), out.otherwise(""))
 
 
 def classify_ip_v4(ip: Column) -> Column:
@@ -91,28 +95,32 @@ def classify_ip(ips):  # noqa: ANN001, ANN201
 
 def legacy_ipv4(host: Column) -> Column:
     """The number of a host as inet_aton reads it (parts in decimal, octal or hex; the last one fills the rest); null if it reads none."""
-    parts = F.split(host, r"\.")
-    n = F.size(parts)
-    base = lambda p: F.when(p.rlike("^0[xX][0-9a-fA-F]{1,8}$"), 16).when(p.rlike("^0[0-7]{0,11}$"), 8).when(p.rlike("^[1-9][0-9]{0,9}$"), 10)
-    value = lambda p: F.when(base(p) == 16, F.conv(F.substring(p, 3, 8), 16, 10)).when(base(p) == 8, F.conv(p, 8, 10)).when(base(p) == 10, p).try_cast("long")
-    nums = F.transform(parts, value)
-    last = F.try_element_at(nums, F.lit(-1))
-    whole = F.forall(nums, lambda x: x.isNotNull()) & n.between(1, 4)
-    heads = F.slice(nums, 1, n - 1)
+    return let(F.transform(F.split(host, r"\."), _part), _joined)
+
+
+def _part(p: Column) -> Column:
+    """A part of a legacy address as a number; null if it is none."""
+    text = F.when(p.rlike("^0[xX][0-9a-fA-F]{1,8}$"), F.conv(F.substring(p, 3, 8), 16, 10)).when(p.rlike("^0[0-7]{0,11}$"), F.conv(p, 8, 10)).when(p.rlike("^[1-9][0-9]{0,9}$"), p)
+    return text.try_cast("long")
+
+
+def _joined(nums: Column) -> Column:
+    n, last = F.size(nums), F.try_element_at(nums, F.lit(-1))
     room = F.try_element_at(F.array(*[F.lit(1 << b).cast("long") for b in (32, 24, 16, 8)]), n)
-    sums = F.aggregate(heads, F.lit(0).cast("long"), lambda s, x: s * 256 + x)
-    fine = whole & F.forall(heads, lambda x: x <= 255) & (last < room)
-    return F.when(fine, sums * room + last)
+    heads = F.slice(nums, 1, n - 1)
+    fine = F.forall(nums, lambda x: x.isNotNull()) & n.between(1, 4) & F.forall(heads, lambda x: x <= 255) & (last < room)
+    return F.when(fine, F.aggregate(heads, F.lit(0).cast("long"), lambda s, x: s * 256 + x) * room + last)
 
 
 def static_refusal(url: Column) -> Column:
     """The first reason, decidable without DNS, why a URL must not be fetched; '' if there is none. IPv6 literals are judged by `classify_ip`."""
-    u = parse(strip(url))
+    return let(parse(strip(url)), lambda u: _static(url, u))
+
+
+def _static(url: Column, u: Column) -> Column:
     port = F.coalesce(F.nullif(port_of(u), F.lit(0)), F.when(u["scheme"] == "https", 443).otherwise(80))
     host = u["host"]
-    v4, old = v4_number(host), legacy_ipv4(host)
-    why4 = F.when(v4.isNotNull(), v4_reason(v4)).otherwise("")
-    why_old = F.when(old.isNotNull(), v4_reason(old)).otherwise("")
+    why4, why_old = F.coalesce(v4_reason(v4_number(host)), F.lit("")), F.coalesce(v4_reason(legacy_ipv4(host)), F.lit(""))
     return (
         F.when(url.isNull() | (url == "") | (F.length(url) > MAX_LENGTH), "URL must be 1-2048 characters")
         .when(~u["scheme"].isin("http", "https"), "only http and https URLs are supported")

@@ -22,6 +22,11 @@ def count_of(text: Column, piece: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))
 
 
+def let(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value), with value computed once however often use repeats it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse(url: Column) -> Column:
     """struct(scheme, authority, path, query, fragment, userinfo, host, port_text); host in lower case and without brackets."""
     part = lambda i: F.regexp_extract(url, PATTERN, i)
