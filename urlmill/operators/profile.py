@@ -44,8 +44,9 @@ def quantiles(df: DataFrame, value: str, *by: str, ps: tuple = (0.0, 0.5, 0.9, 0
 def correlations(df: DataFrame, target: str, *columns: str) -> DataFrame:
     """(column, n, min, max, mean, r) of each column with the target, strongest first; r is null where a variance is zero."""
     long = df.select(target, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.column", "e.x", F.col(target).cast("double").alias("y"))
-    out = long.groupBy("column").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.corr("x", "y").alias("r"))
-    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r"))).orderBy(F.abs("r").desc_nulls_last(), "column")
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    out = long.groupBy("column").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), r.alias("r"))
+    return out.orderBy(F.abs("r").desc_nulls_last(), "column")
 
 
 def pattern_table(df: DataFrame, label: str, flags: dict[str, Column]) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import urls
+from .plans import pages, tables, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (urls,):
+for _m in (urls, pages, tables):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
