@@ -104,9 +104,9 @@ def dual_ttl_cache(spark, sf):
 
 
 def _ttl_sql(ttl: str, op: str) -> str:
-    return f"""WITH RECURSIVE e AS (SELECT user_id, event_type, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS at, {ttl} AS ttl, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000000), {ttl}) AS n FROM events),
-r AS (SELECT user_id, n, at AS w, ttl AS l, 0 AS hit FROM e WHERE n = 1 UNION ALL
-  SELECT e.user_id, e.n, CASE WHEN e.at - r.w {op} r.l THEN r.w ELSE e.at END, CASE WHEN e.at - r.w {op} r.l THEN r.l ELSE e.ttl END, CASE WHEN e.at - r.w {op} r.l THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_type, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS "at", {ttl} AS ttl, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000000), {ttl}) AS n FROM events),
+r AS (SELECT user_id, n, e."at" AS w, ttl AS l, 0 AS hit FROM e WHERE n = 1 UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN e."at" - r.w {op} r.l THEN r.w ELSE e."at" END, CASE WHEN e."at" - r.w {op} r.l THEN r.l ELSE e.ttl END, CASE WHEN e."at" - r.w {op} r.l THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
 SELECT user_id, count(*) AS lookups, CAST(sum(hit) AS BIGINT) AS hits, CAST(count(*) - sum(hit) AS BIGINT) AS loads FROM r GROUP BY 1"""
 
 
