@@ -22,12 +22,17 @@ empty table gives no part and an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,28 +49,90 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of letters with other signs behind: the pre-tokenizer cuts it there, unless an apostrophe follows.
+LETTERS = re.compile(r"([^\W\d_]+)([^\w\s']*)")
+
+
 class Encoder:
-    """Little-endian ids of texts, word by word, through a bounded cache."""
+    """Little-endian ids of texts, by distinct words of a batch. Words are remembered in two generations of at most BOUND words each; a word
+    of the older one that is met again moves to the younger one. Runs of letters, in lower case as the normalizer has them, go to the
+    library's model at once; what the normalizer or pre-tokenizer may change goes through the whole tokenizer."""
 
-    BOUND = 500_000
+    BOUND = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old, self.heads, self.tails = Tokenizer.from_file(path), {}, {}, {}, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        if len(self.known) > self.BOUND:
-            self.known.clear()
-        new = list({w for ws in split for w in ws if w not in self.known})
-        for part in range(0, len(new), 4096):
-            some = new[part : part + 4096]
-            got = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(some, got))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.last = np.zeros(1 << (8 * self.dtype.itemsize if self.dtype.itemsize < 4 else 24), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in plain]
+        self.alphabet = {x: chr(256 + i) for i, x in enumerate(rest)}
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters: 4096 of them at a time as one text; the last piece of each carries the end-of-word sign."""
+        runs = [r if r.isascii() else r.encode().decode("latin-1").translate(self.alphabet) for r in runs]
+        out: list[bytes] = []
+        for part in self.model.encode_batch_fast([" ".join(runs[x : x + 4096]) for x in range(0, len(runs), 4096)], add_special_tokens=False):
+            ids = np.array(part.ids, self.dtype)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
+            data = ids.tobytes()
+            out += [data[x:y] for x, y in zip([0, *ends[:-1]], ends)]
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        if len(self.heads) + len(self.tails) > self.BOUND:
+            self.heads, self.tails = {}, {}
+        match, cut = LETTERS.fullmatch, []
+        for w in new:
+            word = w.decode()
+            m = match(word)
+            # What stands behind a run of letters is cut off where the pre-tokenizer certainly does so.
+            if m and (word.isascii() or (m[1].isalpha() and is_normalized("NFC", word) and "Σ" not in word and "İ" not in word)):
+                cut.append((m[1].lower(), m[2]))
+            else:
+                cut.append(("", word))
+        heads, tails = self.heads, self.tails
+        unknown = list({a for a, _ in cut}.difference(heads, ("",)))
+        heads.update(zip(unknown, self._runs(unknown)))
+        unknown = list({b for _, b in cut}.difference(tails))
+        for part in range(0, len(unknown), 8192):
+            got = self.tokenizer.encode_batch_fast(unknown[part : part + 8192], add_special_tokens=False)
+            tails.update((r, array(self.dtype.char, e.ids).tobytes()) for r, e in zip(unknown[part : part + 8192], got))
+        heads[""] = b""
+        self.young.update([(w, heads[a] + tails[b]) for w, (a, b) in zip(new, cut)])
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        if len(self.young) > self.BOUND:
+            self.young, self.old = {}, self.young
+        new = [w for w in distinct if w not in self.young]
+        known = [w for w in new if w in self.old]
+        self.young.update((w, self.old[w]) for w in known)
+        self._learn([w for w in new if w not in self.young])
+        ids = pa.array([self.young[w] for w in distinct], pa.large_binary()).take(words.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        if not len(ids):
+            return [b""] * len(texts)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int64)[ids.offset :][ends].tolist()
+        whole = memoryview(data)
+        return [bytes(whole[a:b]) for a, b in zip(at[:-1], at[1:])]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder a process, so that tasks after the first know most words."""
+    return Encoder(path)
 
 
 class PartWriter:
@@ -114,14 +181,13 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, length:
     where.create_dir(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode, writer = TaskContext.get().partitionId(), None, None
+        part, encode, writer = TaskContext.get().partitionId(), encoder(path), None
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                some = batch.slice(a, 512)
-                encode = encode or Encoder(path)
+            for a in range(0, batch.num_rows, 1000):
+                some = batch.slice(a, 1000)
                 writer = writer or PartWriter(folder, part, encode.dtype, length, rows)
                 end = np.array([end_id], encode.dtype).tobytes()
-                writer.add(some["doc_id"].to_pylist(), [x + end for x in encode(some["text"].to_pylist())])
+                writer.add(some["doc_id"].to_pylist(), [x + end for x in encode(some["text"])])
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([writer.total], pa.int64())], names=["part", "n"])
