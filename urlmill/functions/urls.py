@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 #: scheme, authority, path, query, fragment (RFC 3986, appendix B)
 PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
 MAX_URL = 4096
+#: A character that stands between parts inside `parse`
+CUT = "\x01"
 IP_HOST = r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[[0-9a-fA-F:]+\]$"
 
 
@@ -29,13 +31,18 @@ def let(value: Column, use) -> Column:  # noqa: ANN001
 
 def parse(url: Column) -> Column:
     """struct(scheme, authority, path, query, fragment, userinfo, host, port_text); host in lower case and without brackets."""
-    part = lambda i: F.regexp_extract(url, PATTERN, i)
-    rest = F.regexp_extract(part(2), r"([^@]*)$", 1)
-    host = F.when(rest.startswith("["), F.regexp_extract(rest, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(rest, r"^([^:]*)", 1))
-    port = F.when(rest.startswith("["), F.regexp_extract(rest, r"\]:(.*)$", 1)).otherwise(F.regexp_extract(rest, r"^[^:]*:(.*)$", 1))
+    parts = F.split(F.regexp_replace(F.replace(url, F.lit(CUT), F.lit("")), PATTERN, CUT.join(f"${i}" for i in range(1, 6))), CUT)
+    return let(parts, lambda p: let(F.regexp_extract(F.get(p, 1), r"([^@]*)$", 1), lambda rest: _parsed(p, rest)))
+
+
+def _parsed(p: Column, rest: Column) -> Column:
+    """p: the five parts; rest: the authority without user info."""
+    bracket = rest.startswith("[")
+    host = F.when(bracket, F.regexp_extract(rest, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(rest, r"^([^:]*)", 1))
+    port = F.when(bracket, F.regexp_extract(rest, r"\]:(.*)$", 1)).otherwise(F.regexp_extract(rest, r"^[^:]*:(.*)$", 1))
     return F.struct(
-        F.lower(part(1)).alias("scheme"), part(2).alias("authority"), part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment"),
-        F.regexp_extract(part(2), r"^(.*)@", 1).alias("userinfo"), F.lower(host).alias("host"), port.alias("port_text"),
+        F.lower(F.get(p, 0)).alias("scheme"), F.get(p, 1).alias("authority"), F.get(p, 2).alias("path"), F.get(p, 3).alias("query"), F.get(p, 4).alias("fragment"),
+        F.regexp_extract(F.get(p, 1), r"^(.*)@", 1).alias("userinfo"), F.lower(host).alias("host"), port.alias("port_text"),
     )
 
 
