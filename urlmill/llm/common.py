@@ -48,7 +48,7 @@ def spread(df: DataFrame, *columns: str) -> int:
 class WordHashes(dict):
     """64-bit hash of each word (bytes); forgets all of them at a bound, so memory stays constant."""
 
-    BOUND = 400_000
+    BOUND = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -89,6 +89,21 @@ def grams(w: np.ndarray, k: int) -> np.ndarray:
     return mix(h + U(k))
 
 
-def with_defaults(df: DataFrame, **types: str) -> DataFrame:
-    """df with the named columns cast to the given types."""
-    return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
+def join_back(rows: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """rows joined with what was aggregated from them by the same keys.
+
+    The keys (long) are joined by their complements: the aggregate is then dealt out anew, and where one key has a large share of all rows, AQE can split the join,
+    which it can't where the join stands on the aggregate's own shuffle.
+    """
+    names = [unused(f"_key{i}", rows) for i in range(len(keys))]
+    left = rows.withColumns({n: F.bitwise_not(k) for n, k in zip(names, keys)})
+    right = found.select(*[F.bitwise_not(k).alias(n) for n, k in zip(names, keys)], *[c for c in found.columns if c not in keys])
+    return left.join(right, names).drop(*names)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

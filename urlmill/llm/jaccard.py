@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, U, WordHashes, grams, materialize, mix, spread, table
+from .common import SPACE, U, WordHashes, grams, join_back, materialize, mix, spread, table, unused
 from .components import components
 
 GROWTH, SLACK, BOUND, SHINGLES, PIVOTS = 1.5, 1.25, 2000, 4_000_000, 8
@@ -247,7 +247,7 @@ def links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bound: int
     per = same.groupBy("region").agg(F.count(F.lit(1)).alias("reps"), F.sum("n").alias("all_n")).where("reps > 1")
     reps = materialize(same.join(per, "region").select("rep", "region", "n", ((F.col("reps") > bound) | (F.col("all_n") > max_shingles)).alias("wide"), F.ceil(F.greatest(F.col("reps") / bound, F.col("all_n") / max_shingles)).cast("int").alias("blocks")), "jaccard-reps")
     full = sized.where("n_shingles > 0")
-    copies = full.groupBy("f", "g").agg(F.min("doc_id").alias("a")).join(full, ["f", "g"]).select("a", F.col("doc_id").alias("b")).where("a < b")
+    copies = join_back(full, full.groupBy("f", "g").agg(F.min("doc_id").alias("a")), "f", "g").select("a", F.col("doc_id").alias("b")).where("a < b")
     texts = raw.join(reps, raw.doc_id == reps.rep).select("rep", "region", "wide", "blocks", "text")
 
     def whole(rows: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -312,8 +312,9 @@ def connected(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, **how)
 
 def deduplicated(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **how) -> DataFrame:
     """docs without those whose component holds a smaller doc_id."""
-    later = connected(docs, k, num, den, **how).where("component_id < doc_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+    name = unused("_later", docs)
+    later = connected(docs, k, num, den, **how).where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(later, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,12 +68,11 @@ def plan(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """docs with every row as often as the mix takes it; copies are equal rows."""
-    columns = docs.columns
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    per = targets(sized.select("source", F.col("_size").alias("size")), **how).select(F.col("source").alias("_of"), F.col("rate").alias("_rate"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    per = targets(sized.select("source", "size"), **how).select(F.col("source").alias("_of"), F.col("rate").alias("_rate"))
     joined = sized.join(per, F.col("source").eqNullSafe(F.col("_of")), "left")
     copies = F.floor("_rate") + (draw(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    return joined.select("_row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
