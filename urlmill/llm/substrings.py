@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, materialize, mix, spread, table
+from .common import WordHashes, grams, join_back, materialize, mix, spread, table
 
 LENGTH, GRAM, SHARD, PROBES = 50, 16, 100_000, 400_000
 
@@ -209,13 +209,13 @@ def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
     found = materialize(anchors(texts, length, gram), "anchors")
     heads = found.where("n > 0")
     first = heads.groupBy("key", "other").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = materialize(heads.join(first, ["key", "other"]).where("doc_id > first").select("doc_id", "n").distinct(), "copies")
+    copies = materialize(join_back(heads, first, "key", "other").where("doc_id > first").select("doc_id", "n").distinct(), "copies")
     own = found.where("n = 0").join(copies.select("doc_id"), "doc_id", "left_anti")
     shared = own.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    marks = own.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
+    marks = join_back(own, shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
     seen = materialize(windows(texts.join(marks, "doc_id").select("doc_id", "text", "marks"), length, gram), "windows")
     owners = seen.groupBy("wh").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("b")).where("owner < b").select("wh", "owner")
-    hits = materialize(seen.join(owners, "wh").groupBy("doc_id").agg(F.collect_list(F.struct("start", "owner")).alias("hits")), "hits")
+    hits = materialize(join_back(seen, owners, "wh").groupBy("doc_id").agg(F.collect_list(F.struct("start", "owner")).alias("hits")), "hits")
     runs = materialize(passages(texts.join(hits, "doc_id").select("doc_id", "text", "hits"), length), "passages")
     size = (F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).cast("long")
     asks = F.col("doc_id") != F.col("owner")
