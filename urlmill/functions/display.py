@@ -11,6 +11,7 @@ from .urls import identity
 
 def page_reasoning(score: Column, signals: Column) -> Column:
     """What a page score rests on; signals is the struct of page signals."""
+    # The sentences readers see.
     n = lambda k: signals[k].cast("string")
     form = (
         F.when(signals["password_inputs"] > 0, F.concat(F.lit("It asks for a password in "), n("password_inputs"), F.lit(" field(s) across "), n("forms"), F.lit(" form(s).")))

@@ -120,6 +120,7 @@ def static_refusal(url: Column) -> Column:
 def _static(url: Column, u: Column) -> Column:
     port = F.coalesce(F.nullif(port_of(u), F.lit(0)), F.when(u["scheme"] == "https", 443).otherwise(80))
     host = u["host"]
+    # Reasons that callers see.
     why4, why_old = F.coalesce(v4_reason(v4_number(host)), F.lit("")), F.coalesce(v4_reason(legacy_ipv4(host)), F.lit(""))
     return (
         F.when(url.isNull() | (url == "") | (F.length(url) > MAX_LENGTH), "URL must be 1-2048 characters")

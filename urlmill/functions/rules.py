@@ -39,6 +39,7 @@ def rules(url: Column, p: str = "_p") -> list[tuple[Column, Column, Column]]:
     size, n = F.length(url), F.size(names)
     authority = F.regexp_extract(F.regexp_extract(url, "://([^/]*)", 1), "^(.*)$", 1)
     text = F.lit
+    # Points and signals of the rules.
     return [
         (host.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"), F.lit(35), text("Host is a bare IP literal with no associated domain name")),
         (authority.contains("@"), F.lit(25), text("URL contains a credential-like '@' in the host section")),

@@ -231,6 +231,7 @@ def peel(url: Column) -> Column:
     ip = host.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$")
     cut = ~ip & (F.size(names) > 2)
     below = F.array_join(F.slice(names, 1, F.greatest(F.size(names) - 2, F.lit(0))), ".")
+    # Keys, labels and notes of the strips.
     host_note = (
         F.when(host == "", none).when(ip, "Bare IP address, no domain name").when(host.rlike(r"(^|\.)xn--"), "Punycode — may render as another script")
         .when(host.isin(*SHORTENERS), "Known link shortener, destination hidden")

@@ -22,6 +22,7 @@ def fold(log: DataFrame, key: str = "site_id") -> DataFrame:
 
 def prior_message(s: DataFrame) -> Column:
     """What a caller is told about earlier scans."""
+    # The sentences callers see.
     words = F.create_map(*[F.lit(x) for v in VERDICTS for x in (v, {"unknown": "inconclusive"}.get(v, v.replace("_", " ")))])
     counts = tally({{"unknown": "inconclusive"}.get(v, v.replace("_", " ")): F.col(f"{v}_count") for v in VERDICTS})
     first = F.concat(F.lit("This address was already scanned "), F.col("scan_count").cast("string"), F.lit("x, most recently on "), F.date_format("last_scanned_at", "yyyy-MM-dd HH:mm"), F.lit(" UTC, and was rated "), words[F.col("effective_verdict")], F.lit("."))
