@@ -23,13 +23,15 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
 MARK = "▁"
-CHUNK, BOUND = 2000, 400_000
+CHUNK, BOUND, PAIRS = 1500, 200_000, 200_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -53,12 +55,17 @@ class Model:
         self.score = {n: p.get_score(i) for n, i in self.id.items()}
         self.spelled = [bytes([int(n[1:-1], 16)]) if p.is_byte(i) else b"" if p.is_control(i) else " ⁇ ".encode() if p.is_unknown(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
         self.longest = max(map(len, self.id))
-        # A word ends where no piece goes on: before a mark, and around characters that are in no piece of several.
-        inner = {c for n in self.id if len(n) > 1 for c in n}
+        # A word ends where no piece goes on: before a mark, around characters that are in no piece of several, and - unless
+        # some piece joins them - between letters and other signs.
+        inner = {c for n in self.id if len(n) > 1 for c in n} - {MARK}
         if any(MARK in n.lstrip(MARK) for n in self.id):
             raise ValueError("pieces of this model span words")
-        joins = "".join(re.escape(c) for c in sorted(inner - {MARK}))
-        self.words = re.compile(f"{MARK}*[{joins}]+|{MARK}+|[^{joins}{MARK}]")
+        mixed = any(x.isalpha() != y.isalpha() for n in self.id for x, y in zip(n.lstrip(MARK), n.lstrip(MARK)[1:]))
+        kinds = [inner] if mixed else [{c for c in inner if c.isalpha()}, {c for c in inner if not c.isalpha()}]
+        classes = ["".join(re.escape(c) for c in sorted(k)) for k in kinds if k]
+        self.words = re.compile("|".join([*(f"{MARK}*[{c}]+" for c in classes), f"{MARK}+", f"[^{''.join(classes)}{MARK}]"]))
+        self.tails = {n[i:] for n in self.id for i in range(len(n))}
+        self.units: dict[str, bytes] = {}
         self.spines: dict[str, tuple[tuple, tuple]] = {}
         self.apart: dict[tuple[str, str], bool] = {}
         self.young: dict[str, bytes] = {}
@@ -106,34 +113,52 @@ class Model:
         return self.spines[piece]
 
     def _apart(self, a: str, b: str) -> bool:
-        key = (a, b)
-        if key not in self.apart:
-            if len(self.apart) > BOUND:
-                self.apart.clear()
-            left, right = self._spine(a), self._spine(b)
-            self.apart[key] = left is not None and right is not None and not any(
-                (s := self.score.get(x + y)) is not None and max(mx, my) < -s < ux and -s <= uy for x, mx, ux in left[1] for y, my, uy in right[0]
-            )
-        return self.apart[key]
-
-    def _step_bpe(self, word: str, i: int, state: list) -> None:
-        for k in range(max(0, i - self.longest), i):
-            piece = word[k:i]
-            if (piece in self.id or k == i - 1) and (k == 0 or (state[k] is not None and self._apart(state[k], piece))) and self._spine(piece) is not None:
-                state.append(piece)
-                return
-        state.append(None)
+        """Whether the merges keep two neighbouring pieces apart."""
+        left, right = self._spine(a), self._spine(b)
+        if left is None or right is None:
+            return False
+        for x, mx, ux in left[1]:
+            for y, my, uy in right[0]:
+                s = self.score.get(x + y)
+                if s is not None and max(mx, my) < -s < ux and -s <= uy:
+                    return False
+        return True
+
+    def _steps_bpe(self, word: str, state: list) -> None:
+        """Appends to state the piece that ends each prefix of word that is not there yet."""
+        ids, apart, tails = self.id, self.apart, self.tails
+        if len(apart) > PAIRS:
+            apart.clear()
+        for i in range(len(state), len(word) + 1):
+            # From the shortest piece on; no longer one ends here once the text is no piece's tail.
+            for k in range(i - 1, -1, -1):
+                piece = word[k:i]
+                if piece in ids or k == i - 1:
+                    if k:
+                        key = (state[k], piece)
+                        fits = apart.get(key)
+                        if fits is None:
+                            fits = apart[key] = self._apart(*key)
+                    else:
+                        fits = self._spine(piece) is not None
+                    if fits:
+                        state.append(piece)
+                        break
+                elif piece not in tails:
+                    raise AssertionError("no piece ends here")
 
     # -- unigram
 
-    def _step_unigram(self, word: str, i: int, state: list) -> None:
-        best = None
-        for k in range(max(0, i - self.longest), i):
-            piece = word[k:i]
-            s = self.score.get(piece, self.floor if k == i - 1 else None)
-            if s is not None and (best is None or state[k][0] + s > best[0]):
-                best = (state[k][0] + s, piece)
-        state.append(best)
+    def _steps_unigram(self, word: str, state: list) -> None:
+        """Appends to state the best (score, last piece) of each prefix of word that is not there yet."""
+        for i in range(len(state), len(word) + 1):
+            best = None
+            for k in range(max(0, i - self.longest), i):
+                piece = word[k:i]
+                s = self.score.get(piece, self.floor if k == i - 1 else None)
+                if s is not None and (best is None or state[k][0] + s > best[0]):
+                    best = (state[k][0] + s, piece)
+            state.append(best)
 
     # -- words
 
@@ -144,38 +169,62 @@ class Model:
 
     def forward(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Ids of sorted words; states of a shared prefix are kept."""
-        bpe = self.kind == "bpe"
-        step, state, last = (self._step_bpe if bpe else self._step_unigram), ["" if bpe else (0.0, "")], ""
+        bpe, known = self.kind == "bpe", self.id
+        steps, state, last = (self._steps_bpe if bpe else self._steps_unigram), ["" if bpe else (0.0, "")], ""
         for word in words:
             if bpe and MARK * 2 in word:
                 yield word, self.library.encode(word[1:].replace(MARK, " "), num_threads=1)
                 continue
-            shared = 0
-            for x, y in zip(last, word):
-                if x != y:
-                    break
+            shared, most = 0, min(len(last), len(word))
+            while shared < most and last[shared] == word[shared]:
                 shared += 1
             del state[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                step(word, i, state)
+            steps(word, state)
             path, i = [], len(word)
             while i:
                 piece = state[i] if bpe else state[i][1]
                 path.append(piece)
                 i -= len(piece)
-            yield word, [x for piece in reversed(path) for x in self._ids(piece)]
+            path.reverse()
+            try:
+                yield word, [known[piece] for piece in path]
+            except KeyError:
+                yield word, [x for piece in path for x in self._ids(piece)]
             last = word
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _learn(self, tokens: list[str]) -> None:
+        """Remembers the ids of texts between spaces."""
+        if len(self.units) > BOUND:
+            self.units = {}
+        units, cut = self.units, [self.words.findall(MARK + t) for t in tokens]
+        units.update((w, array("i", x).tobytes()) for w, x in self.forward(sorted(set().union(*cut).difference(units))))
+        self.young.update([(t, b"".join([units[w] for w in ws])) for t, ws in zip(tokens, cut)])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of texts."""
-        split = [self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # Two spaces in a row, or one at an end, make runs of marks: such texts are cut by the pattern, the others between spaces.
+        runs = pc.match_substring_regex(texts, f"^ | $|  |{MARK}").to_pylist()
+        lists = pc.split_pattern(texts, " ")
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
         if len(self.young) > BOUND:
             self.young, self.old = {}, self.young
-        new = set().union(*split).difference(self.young)
-        known = [w for w in new if w in self.old]
-        self.young.update((w, self.old[w]) for w in known)
-        self.young.update((w, array("i", ids).tobytes()) for w, ids in self.forward(sorted(new.difference(known))))
-        return [b"".join(map(self.young.__getitem__, ws)) for ws in split]
+        new = [w for w in distinct if w not in self.young]
+        self.young.update((w, self.old[w]) for w in new if w in self.old)
+        self._learn([w for w in new if w not in self.young])
+        ids = pa.array([self.young[w] for w in distinct], pa.large_binary()).take(words.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])].tolist() if len(ids) else [0]
+        whole = memoryview(ids.buffers()[2]) if len(ids) and ids.buffers()[2] else b""
+        out = [bytes(whole[a:b]) for a, b in zip(at[:-1], at[1:])]
+        for i, odd in enumerate(runs):
+            if odd:
+                ws = self.words.findall(MARK + texts[i].as_py().replace(" ", MARK))
+                own = {w: array("i", x).tobytes() for w, x in self.forward(sorted(set(ws)))}
+                out[i] = b"".join(map(own.__getitem__, ws))
+            elif not len(texts[i].as_py()):
+                out[i] = b""
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -197,7 +246,7 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe") -> DataF
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(at, CHUNK)
-                got = m.encode(batch["text"].to_pylist())
+                got = m.encode(batch["text"])
                 lists = [array("i", g) for g in got]
                 ends = [0]
                 for x in lists:
