@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, spread, table
 
 END_ID, LENGTH, ROWS = 2, 2048, 32
+#: Documents that are encoded together
+TAKE = 2500
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -58,7 +60,7 @@ class Encoder:
     of the older one that is met again moves to the younger one. Runs of letters, in lower case as the normalizer has them, go to the
     library's model at once; what the normalizer or pre-tokenizer may change goes through the whole tokenizer."""
 
-    BOUND = 300_000
+    BOUND = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -145,12 +147,14 @@ class PartWriter:
         self.dtype, self.length, self.rows, self.total, self.kept = dtype, length, rows, 0, bytearray()
         kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
         self.schema = pa.schema([("input_ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.whole = pa.array(np.ones(length * rows, bool))
         self.streams = [self.fs.open_output_stream(d) for d in self.drafts]
         self.out = pa.ipc.new_file(self.streams[0], self.schema)
         self.index = pa.ipc.new_file(self.streams[1], pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
 
     def _flush(self, ids: np.ndarray, real: int) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, np.arange(len(ids)) < real)]
+        mask = self.whole if real == len(self.whole) else pa.array(np.arange(len(ids)) < real)
+        lists = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(ids), mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def add(self, doc_ids: list, ids: list[bytes]) -> None:
@@ -183,8 +187,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode, writer = TaskContext.get().partitionId(), encoder(path), None
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                some = batch.slice(a, 1000)
+            for a in range(0, batch.num_rows, TAKE):
+                some = batch.slice(a, TAKE)
                 writer = writer or PartWriter(folder, part, encode.dtype, length, rows)
                 end = np.array([end_id], encode.dtype).tobytes()
                 writer.add(some["doc_id"].to_pylist(), [x + end for x in encode(some["text"])])
