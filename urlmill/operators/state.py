@@ -92,3 +92,20 @@ def training_state(log: DataFrame) -> DataFrame:
     d = log.select("run", "line_no", *[c.alias(k) for k, c in cols.items()])
     g = d.groupBy("run").agg(*[F.max_by(k, F.when(F.col(k).isNotNull(), F.col("line_no"))).alias(k) for k in cols])
     return g.withColumn("done", F.when(F.col("total") > 0, F.col("step") / F.col("total")))
+
+
+def host_cache(df: DataFrame, ttl: int = 21_600, key: str = "host") -> DataFrame:
+    """key, lookups, hits of a client cache. Rows: key, at (seconds), kind ('lookup' or 'result'), keep (whether a result may be kept).
+
+    A result that may be kept replaces the entry, another one removes it; a lookup hits while the entry is younger than ttl and renews nothing.
+    """
+    d = _ordered(df, key, "at", "kind", "keep")
+    start = F.struct(F.lit(None).cast("double").alias("w"), F.lit(0).cast("long").alias("hits"))
+
+    def step(s: Column, x: Column) -> Column:
+        t, ask = x.at.cast("double"), x.kind == "lookup"
+        alive = s.w.isNotNull() & (t - s.w < ttl)
+        w = F.when(ask, F.when(alive, s.w)).when(x.keep, t)
+        return F.struct(w.alias("w"), (s.hits + (ask & alive).cast("long")).alias("hits"))
+
+    return d.select(key, F.size(F.filter("rows", lambda x: x.kind == "lookup")).cast("long").alias("lookups"), F.aggregate("rows", start, step, lambda s: s.hits).alias("hits"))
