@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +96,21 @@ def grams(w: np.ndarray, k: int) -> np.ndarray:
     return mix(h + U(k))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def tidy() -> None:
+    """Gives memory that a task no longer uses back to the system, as its process may idle beside other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def join_back(rows: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
     """rows joined with what was aggregated from them by the same keys.
 

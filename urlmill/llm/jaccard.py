@@ -37,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, U, WordHashes, grams, join_back, materialize, mix, spread, table, unused
+from .common import SPACE, U, WordHashes, grams, join_back, materialize, mix, slices, spread, table, tidy, unused
 from .components import components
 
-GROWTH, SLACK, BOUND, SHINGLES, PIVOTS = 1.5, 1.25, 2000, 4_000_000, 8
+GROWTH, SLACK, BOUND, SHINGLES, PIVOTS = 1.5, 1.25, 1000, 2_000_000, 8
 NO_ROWS = np.empty(0, np.uint64)
 
 
@@ -111,7 +111,7 @@ def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             for x in range(0, len(out_s), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(out_s[x : x + 100_000].view(np.int64)), pa.array(out_d[x : x + 100_000])], names=["sig", "doc"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 s = signatures(shingles(t, k), num, den)
                 if len(s) and i is not None:
@@ -123,6 +123,8 @@ def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     sigs, ids, held = [], [], 0
         if held:
             yield from flush()
+        _hashes().clear()
+        tidy()
 
     return docs.mapInArrow(run, "sig long, doc long")
 
@@ -131,7 +133,7 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, and two fingerprints of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, f, g = [], [], []
             for t in batch["text"].to_pylist():
                 s = shingles(t, k)
@@ -140,6 +142,8 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
                 g.append(int(mix(s ^ U(0x5BD1E995)).sum(dtype=np.uint64)) if len(s) else 0)
             both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f, g)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), *both], names=["doc_id", "n_shingles", "f", "g"])
+        _hashes().clear()
+        tidy()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f long, g long")
 
@@ -169,9 +173,9 @@ class Sets:
 
 def join_region(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """For each set of a region, the first set of its component under Jaccard >= num/den; sets must not be empty."""
-    n, r = len(sets), (den - num) / den + 1e-9
+    n, r = len(sets), (den - num) / den + 1e-5  # more than the rounding of distances
     all_, top = Sets(sets), np.arange(n)
-    near, home, met = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
+    near, home, met = np.full(n, np.inf, np.float32), np.full(n, -1), np.zeros(n, bool)
     far = []
     for i in range(n):
         if met[i]:
@@ -179,7 +183,7 @@ def join_region(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         inter = all_.overlap(i)
         union = all_.size + all_.size[i] - inter
         linked = den * inter >= num * union
-        distance = 1.0 - inter / union
+        distance = (1.0 - inter / union).astype(np.float32)
         home[distance < near] = len(far)
         near, met = np.minimum(near, distance), met | linked
         tops = np.unique(top[linked])
@@ -203,7 +207,7 @@ def join_region(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 def _regions(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
     """Groups of consecutive rows with equal keys."""
     key, held = None, []
-    for batch in batches:
+    for batch in slices(batches):
         names = [batch.schema.names.index(k) for k in keys]
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             now = tuple(row[i] for i in names)
@@ -229,6 +233,8 @@ def _grouped(df: DataFrame, keys: list[str], then: list[str], work) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        _hashes().clear()
+        tidy()
 
     return df.repartition(spread(df), *keys).sortWithinPartitions(*keys, *then).mapInArrow(run, "a long, b long")
 

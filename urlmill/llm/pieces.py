@@ -28,10 +28,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 
 MARK = "▁"
-CHUNK, BOUND, PAIRS = 1500, 200_000, 200_000
+CHUNK, BOUND, PAIRS = 1000, 120_000, 120_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -226,13 +226,17 @@ class Model:
                 out[i] = b""
         return out
 
+    def forget(self) -> None:
+        """Drops the words: most of a task's words are its own, and an idle process should be small."""
+        self.young, self.old, self.units = {}, {}, {}
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 @cache
 def model(path: str, kind: str = "bpe") -> Model:
-    """One model a process, so that tasks after the first know most words."""
+    """One model a process, so that tasks after the first know its pieces and their merges."""
     return Model(path, kind)
 
 
@@ -254,6 +258,8 @@ def encode(docs: DataFrame, path: str | None = None, kind: str = "bpe") -> DataF
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(got))]))
                 decoded = pa.array([m.decode(x) for x in lists], pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), ids, pa.array([len(x) for x in lists], pa.int64()), decoded], names=[*kept, "ids", "n_tokens", "decoded"])
+        m.forget()
+        tidy()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema.fields)
     return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{fields}, ids array<int>, n_tokens long, decoded string")
