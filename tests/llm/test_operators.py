@@ -211,6 +211,18 @@ def test_template_is_left_out():
     assert html.extract(pages[:1] * 12)[0].endswith("letter")
 
 
+def test_region_keeps_all_text():
+    """Nothing that neither the template nor tags and classes mark is lost: title, lead, several articles, text beside blocks."""
+    lead, rest = " ".join(prose(1, 35)), " ".join(prose(2, 65))
+    body = f"<div><h1>Title</h1><div>{lead}</div><div><p>{rest}</p><p>End</p></div></div>"
+    assert html.extract([page(body)]) == [f"Title\n\n{lead}\n\n{rest}\n\nEnd"]
+    assert html.extract([page(f"<article><p>{rest}</article><div><article>{lead}</article></div>")]) == [f"{rest}\n\n{lead}"]
+    assert html.extract([page(f"<main><h1>Title</h1><article>{rest}</article></main>")]) == [f"Title\n\n{rest}"]
+    assert html.extract([page(f"<article></article><div>beside <p>{rest}</p></div>")]) == [f"beside\n\n{rest}"]
+    pages = [f"<div><div>Brand of the site</div><div><h1>Title {i}</h1><div>{' '.join(prose(i, 30))}</div><div><p>{' '.join(prose(i + 50, 70))}</p></div></div></div>" for i in range(12)]
+    assert html.extract(pages)[3] == f"Title 3\n\n{' '.join(prose(3, 30))}\n\n{' '.join(prose(53, 70))}"
+
+
 @pytest.mark.parametrize("group", [2, 200])
 def test_pages_frame(spark, group):
     rows = [(i, f"https://h{i % 2}.org/{i}" if i % 5 else None, page(f"<article><p>text {i}</p></article>", i) if i % 7 else None, "x") for i in range(30)]

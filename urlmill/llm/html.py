@@ -2,9 +2,9 @@
 
 Method: the DOM trees of pages of one host are aligned with the host's template by simple tree matching (the maximum number of nodes
 that two trees share in order, level by level). A template node remembers how many distinct pages have it and whether its text was the
-same in all of them: constant nodes belong to the template, varying slots are content. The content region is the page's own
-<article>/<main> if it has one, else the smallest subtree that holds most of the text in varying slots; inside it, nodes that the
-template shows to be constant, and menus, forms, adverts, comments and the like (by tag, role and class), are left out.
+same in all of them: constant nodes belong to the template, varying slots are content. The content region is the page's own outermost
+<article>/<main> elements in page order if any has text, else the smallest subtree with child blocks that holds all varying slots; inside it,
+only nodes that the template shows to be constant, and menus, forms, adverts, comments and the like (by tag, role and class), are left out.
 
 Scale: pages are dealt by host, and a task takes a host's pages GROUP to 2 * GROUP at a time; each such group induces its template from all
 its pages, so a task's memory is bounded. Hosts with more than 1 / HEAVY of all pages are dealt in several parts by page_id; there are
@@ -248,27 +248,41 @@ def induce(pages: list[Node]) -> tuple[Slot, int, dict[int, list]]:
     return template, len(distinct), pairs
 
 
-def region(page: Node, constant: dict[int, Node]) -> Node:
-    """The node that holds the main text."""
+def region(page: Node, constant: dict[int, Node]) -> list[Node]:
+    """The nodes that hold the main text, in page order."""
     todo, found = [page], []
     while todo:
         x = todo.pop()
         if x.main:
             found.append(x)
-        todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not k.skip)
-    if found:
-        inner = [x for x in found if x.tag == "article"] or found
-        if len(inner) == 1:
-            return inner[0]
-        lengths = [sum(map(len, blocks(x))) for x in inner]
-        if max(lengths) >= 0.5 * sum(lengths):
-            return inner[lengths.index(max(lengths))]
-    at, whole = page, sum(map(len, blocks(page)))
+        else:
+            todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not k.skip)
+    if found := [x for x in found if blocks(x)]:
+        return found
+    # Framed nodes with text below them that is neither skipped nor constant; text beside child blocks is in no slot and never constant.
+    varying: set[int] = set()
+    for x in [page, *_below(page)][::-1]:
+        if id(x) not in constant and (any(id(k) in varying for k in x.slot) or _beside(x)):
+            varying.add(id(x))
+    at = page
     while True:
-        best = max((k for k in at.slot if not k.skip and id(k) not in constant), key=lambda k: sum(map(len, blocks(k))), default=None)
-        if best is None or not best.slot or sum(map(len, blocks(best))) < 0.6 * whole:
-            return at
-        at = best
+        holds = [k for k in at.slot if id(k) in varying]
+        if len(holds) != 1 or not holds[0].slot or _beside(at):
+            return [at]
+        at = holds[0]
+
+
+def _beside(node: Node) -> bool:
+    """Whether a node has text outside of its child slots that is not skipped."""
+    slots, todo = {id(k) for k in node.slot}, list(node.kids)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if x and not x.isspace():
+                return True
+        elif not x.skip and id(x) not in slots:
+            todo.extend(x.kids)
+    return False
 
 
 def extract(pages: list[str | None]) -> list[str]:
@@ -280,22 +294,23 @@ def extract(pages: list[str | None]) -> list[str]:
         constant = {}
         if seen >= MIN_PAGES:
             constant = {id(node): node for slot, node in pairs.get(id(tree)) or align(template, tree) if slot.constant(seen)}
-        top = region(tree, constant)
-        inside = [x for x in _below(top) if id(x) in constant]
+        tops = region(tree, constant)
+        inside = [x for top in tops for x in (top, *_below(top)) if id(x) in constant]
         # Where most of it is constant, the pages are versions of one article.
-        if 2 * sum(len(x.text) for x in inside) <= sum(map(len, blocks(top))):
+        if 2 * sum(len(x.text) for x in inside) <= sum(len(b) for top in tops for b in blocks(top)):
             for node in inside:
                 node.skip = True
-        out.append("\n\n".join(blocks(top)))
+        out.append("\n\n".join(b for top in tops if not top.skip for b in blocks(top)))
     return out
 
 
 def _below(node: Node) -> Iterator[Node]:
-    todo = list(node.slot)
+    """Framed nodes below a node and outside of skipped ones, parents first."""
+    todo = [k for k in node.slot if not k.skip]
     while todo:
         x = todo.pop()
         yield x
-        todo.extend(x.slot)
+        todo.extend(k for k in x.slot if not k.skip)
 
 
 def extract_pages(pages: DataFrame, group: int = GROUP) -> DataFrame:
