@@ -298,6 +298,16 @@ def test_added_spans():
         assert pii.find(t, w) == ([], [])
 
 
+def test_long_added_spans():
+    """Full IPv6 addresses and long spelled-out mails, whose tokens are many."""
+    w, r = pii.weights(), random.Random(11)
+    for t in ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:db8:85a3::8a2e:370:7334", *(":".join(f"{r.getrandbits(16):x}" for _ in range(8)) for _ in range(500))):
+        assert pii.joined(pii.find(f"server {t} up", w)[1]) == f"ip:7:{7 + len(t)}"
+    for t in ("anna.b.carla.dora [at] mail.example [dot] co [dot] uk", "a.b.c.d.e.f.g.h (at) x (dot) y (dot) z (dot) org"):
+        assert pii.joined(pii.find(f"kontakt {t} now", w)[1]) == f"email:8:{8 + len(t)}"
+        assert pii.masked(f"kontakt {t} now", w) == "kontakt <EMAIL> now"
+
+
 def test_segment_decoding_is_the_best():
     """The dynamic program against all sequences of segments."""
     r, w = random.Random(4), {"a": 3.0, "b": 2.6, "c": 5.0}

@@ -1,7 +1,7 @@
 """Operator 6: personal data, by base rules and a semi-Markov conditional random field.
 
 Method: base rules find spans of each kind on their own, and those stay. Around digits, signs and spelled-out addresses, a semi-Markov CRF then
-scores candidate segments of at most MAX_TOKENS tokens by features of the whole span (its shape, its digit count, checksums, the word
+scores candidate segments, as long as a kind can be (`reach`), by features of the whole span (its shape, its digit count, checksums, the word
 before it), and dynamic programming over segments chooses boundaries and kinds jointly: a text is a sequence of single outside tokens
 and segments, best[j] = max(best[j-1], best[i] + score(i, j, kind)). Segments that touch a base span are no candidates. The weights
 are fitted at run time by maximum likelihood (semi-Markov forward-backward) on EXAMPLES sentences that this module makes up from a
@@ -39,7 +39,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
-MAX_TOKENS, EXAMPLES, ROUNDS, MARGIN = 16, 240, 12, 2.0
+EXAMPLES, ROUNDS, MARGIN = 240, 12, 2.0
 
 Span = tuple[int, int, str]
 
@@ -93,6 +93,12 @@ AT = re.compile(r"[\[({]\s?(?:at|@)\s?[\])}]", re.I)
 NUMBER = re.compile(r"[+(]?[0-9][0-9 ()./-]*[0-9]\Z")
 SPELLED = re.compile(r"[\w.%+-]+ ?[\[({] ?(?:at|@) ?[\])}] ?[\w-]+(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[\w-]+)+\Z", re.I | re.A)
 SIXES = re.compile(r"(?:[0-9a-fA-F]{0,4}:){3,7}[0-9a-fA-F]{0,4}\Z")
+# Farthest ends of the three above from a start: 19 digits, eight groups of hex digits, a domain of 127 labels.
+NUMBER_REACH = re.compile(r"[+(]?(?:[0-9][ ()./-]*+){1,19}")
+SIXES_REACH = re.compile(r"[0-9a-fA-F:]{1,39}")
+SPELLED_REACH = re.compile(r"[\w.%+-]++ ?[\[({] ?(?:at|@) ?[\])}] ?[\w-]+(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[\w-]+){1,126}", re.I | re.A)
+GOES_ON = re.compile(r"(?: ?[\[({] ?dot ?[\])}] ?| dot )[\w-]", re.I | re.A)  # a domain that is not at its end
+LOCAL_RUN = re.compile(r"[\w.%+-]+", re.A)
 CUES = {  # words that often stand before a kind
     "phone": "phone tel telephone call fax mobile cell whatsapp telefon handy tél téléphone appelez teléfono llame móvil".split(),
     "card": "card visa mastercard amex credit debit kreditkarte carte tarjeta".split(),
@@ -107,12 +113,22 @@ def segments(text: str, start: int, end: int, taken: list[Span]) -> tuple[list[t
     """Tokens of a window, and its candidate segments (first token, end token, kind, features)."""
     tokens = [m.span() for m in TOKEN.finditer(text, start, end)]
     found = []
+    mail = bool(AT.search(text, start, end))
+    run_end = mail_end = start
     for i, (a, _) in enumerate(tokens):
         head = text[a]
         if not (head.isdigit() or head in "+(:" or head.isalpha()) or (i and tokens[i - 1][1] == a and (text[a - 1].isalnum() or text[a - 1] in "+.:/@-_")):
             continue
-        for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
+        limit = max((m.end() for p in (NUMBER_REACH, SIXES_REACH) if (m := p.match(text, a, end))), default=a)
+        if mail and a >= run_end and (m := LOCAL_RUN.match(text, a, end)):
+            # All starts in one run of local characters have the same farthest end.
+            run_end, m = m.end(), SPELLED_REACH.match(text, a, end)
+            mail_end = m.end() if m else a
+        limit = max(limit, mail_end)
+        for j in range(i + 1, len(tokens) + 1):
             b = tokens[j - 1][1]
+            if b > limit:
+                break
             if not (text[b - 1].isalnum() or text[b - 1] == ":") or "\n" in text[a:b]:
                 continue
             if b < len(text) and (text[b].isalnum() or text[b] in "@_%" or (text[b] in ".:/-," and b + 1 < len(text) and text[b + 1].isalnum())):
@@ -120,7 +136,7 @@ def segments(text: str, start: int, end: int, taken: list[Span]) -> tuple[list[t
             kinds, body = [], text[a:b]
             if NUMBER.match(body) and 9 <= len(d := _digits(body)) <= 19:
                 kinds = ["phone"] * (len(d) <= 15) + ["card"] * (len(d) >= 12)
-            elif AT.search(body) and SPELLED.match(body):
+            elif AT.search(body) and SPELLED.match(body) and not GOES_ON.match(text, b):
                 kinds = ["email"]
             elif SIXES.match(body) and len(body) > 6:
                 kinds = ["ip"]
