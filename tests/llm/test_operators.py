@@ -223,6 +223,36 @@ def test_region_keeps_all_text():
     assert html.extract(pages)[3] == f"Title 3\n\n{' '.join(prose(3, 30))}\n\n{' '.join(prose(53, 70))}"
 
 
+def test_long_lists_are_aligned():
+    """One very long page changes nothing for its group: its table is larger than CELLS."""
+    pages = ["<article>" + "".join(f"<p>{i} {j}</p>" for j in range(n)) + "<p>Subscribe to our letter</p></article>" for i, n in enumerate([999] + [299] * 11)]
+    for i, t in enumerate(html.extract(pages)):
+        assert t.endswith(f"{i} {298 if i else 998}")
+
+
+def test_long_alignment_is_the_largest(monkeypatch):
+    """Halved tables against whole ones, with leaves, subtrees, empty and shared texts."""
+    r = random.Random(5)
+
+    def tree(depth):
+        tag = r.choice(["div", "ul"])
+        return f"<{tag}>{''.join(tree(depth - 1) for _ in range(r.randint(0, 4))) if depth else ''}{r.choice(['', '', 'a', 'b', 'c'])}</{tag}>"
+
+    def ordered(slot, node, pairs):
+        at = [(i, j) for a, b in pairs for i, x in enumerate(slot.kids) if x is a for j, y in enumerate(node.slot) if y is b]
+        return all(p[0] < q[0] and p[1] < q[1] for p, q in zip(sorted(at), sorted(at)[1:]))
+
+    for _ in range(150):
+        slot = html.Slot(html.frame(html.parse("".join(tree(2) for _ in range(r.randint(1, 9))))))
+        node = html.frame(html.parse("".join(tree(2) for _ in range(r.randint(1, 9)))))
+        want = html.match(slot, node, [])
+        for cells in (0, 3, 12):
+            monkeypatch.setattr(html, "CELLS", cells)
+            pairs = []
+            assert html.match(slot, node, pairs) == want and ordered(slot, node, pairs)
+            monkeypatch.undo()
+
+
 @pytest.mark.parametrize("group", [2, 200])
 def test_pages_frame(spark, group):
     rows = [(i, f"https://h{i % 2}.org/{i}" if i % 5 else None, page(f"<article><p>text {i}</p></article>", i) if i % 7 else None, "x") for i in range(30)]

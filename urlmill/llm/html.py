@@ -18,9 +18,12 @@ nodes; other columns are ignored; empty table: empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import spread, table
 
 GROUP, HEAVY = 200, 4096
-#: Block levels that are aligned, and the largest product of two sibling lists that is aligned by more than position.
+#: Block levels that are aligned, and the largest product of two sibling lists whose table is held at once; larger ones are halved first.
 DEPTH, CELLS = 60, 250_000
 #: A node is constant if this many distinct pages have it, in at least this share of all, all but this share with the same text.
 MIN_PAGES, MIN_SHARE, MIN_SAME = 8, 0.8, 0.95
@@ -197,7 +200,7 @@ def match(slot: Slot, node: Node, pairs: list) -> int:
     if not n or not m:
         return 1 + (slot.text is not None and slot.text == node.text)
     if n * m > CELLS:
-        even = [(a, b) for a, b in zip(slot.kids, node.slot) if a.tag == b.tag]
+        even = long_pairs(slot.kids, node.slot)
         pairs.extend(even)
         return 1 + sum(match(a, b, pairs) for a, b in even)
     inner, best = {}, [[0] * (m + 1)]
@@ -229,6 +232,106 @@ def match(slot: Slot, node: Node, pairs: list) -> int:
     return 1 + best[n][m]
 
 
+class Weights:
+    """Rows of the table of match weights of two sibling lists, 0 where tags differ.
+
+    Trees that share no text but the empty one match by shape alone, so each pair of shapes is matched once.
+    """
+
+    def __init__(self, slots: list[Slot], nodes: list[Node]):
+        self.slots, self.nodes, self.shapes, self.known = slots, nodes, {}, {}
+        self.at, self.rows = defaultdict(list), {}
+        left, right = [self._shape(x) for x in slots], [self._shape(x) for x in nodes]
+        self.left, self.leaves = [s for s, _ in left], ([t for _, t in left], [t for _, t in right])
+        self.texts = tuple([set(t) - {"", None} for t in side] for side in self.leaves)
+        for j, has in enumerate(self.texts[1]):
+            for t in has:
+                self.at[t].append(j)
+        self.kinds, self.right = np.unique(np.array([s for s, _ in right]), return_inverse=True)
+        self.shape_of = {v: k for k, v in self.shapes.items()}
+
+    def _shape(self, x: Slot | Node) -> tuple[int, list[str]]:
+        """The number of a tree without its texts, and the texts of its leaves."""
+        kids = x.kids if isinstance(x, Slot) else x.slot
+        below = [self._shape(k) for k in kids]
+        key = (x.tag, not kids and x.text == "", tuple(s for s, _ in below))
+        return self.shapes.setdefault(key, len(self.shapes)), [t for _, has in below for t in has] if kids else [x.text]
+
+    def _pair(self, i: int, j: int) -> int:
+        """The weight of two trees of one tag that share texts: equal for all of their shapes with the same texts in the same places."""
+        a, b = self.slots[i], self.nodes[j]
+        if not a.kids or not b.slot:
+            return 1 + (a.text is not None and a.text == b.text)
+        common = self.texts[0][i] & self.texts[1][j]
+        key = (self.left[i], int(self.right[j]), *(tuple([t if t in common else None for t in side[x]]) for side, x in zip(self.leaves, (i, j))))
+        if key not in self.known:
+            self.known[key] = match(a, b, [])
+        return self.known[key]
+
+    def _shapes(self, a: int, b: int) -> int:
+        (tag, empty, kids), (other, blank, more) = self.shape_of[a], self.shape_of[b]
+        if tag != other:
+            return 0
+        if not kids or not more:
+            return 1 + (empty and blank)
+        if (a, b) not in self.known:
+            kinds, places = np.unique(np.array(more), return_inverse=True)
+            rows = {x: np.array([self._shapes(x, y) for y in kinds.tolist()])[places] for x in set(kids)}
+            self.known[a, b] = 1 + int(last(map(rows.get, kids), len(more))[-1])
+        return self.known[a, b]
+
+    def row(self, i: int, start: int, end: int) -> np.ndarray:
+        """Weights of slot i with nodes start to end."""
+        a, shape = self.slots[i], self.left[i]
+        # What is remembered stays bounded where nearly all shapes differ.
+        if len(self.known) > CELLS:
+            self.known.clear()
+        if shape not in self.rows:
+            if len(self.rows) * len(self.kinds) > CELLS:
+                self.rows.clear()
+            self.rows[shape] = np.array([self._shapes(shape, y) for y in self.kinds.tolist()])
+        out = self.rows[shape][self.right[start:end]]
+        for j in set().union(*(self.at[t][bisect_left(self.at[t], start) : bisect_left(self.at[t], end)] for t in self.texts[0][i] if t in self.at)):
+            if a.tag == self.nodes[j].tag:
+                out[j - start] = self._pair(i, j)
+        return out
+
+
+def last(rows: Iterable[np.ndarray], m: int) -> np.ndarray:
+    """The last row of the alignment table."""
+    best = np.zeros(m + 1, np.int64)
+    for w in rows:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + w))
+    return best
+
+
+def long_pairs(slots: list[Slot], nodes: list[Node]) -> list[tuple[Slot, Node]]:
+    """A largest ordered alignment of two long sibling lists, by halving the first (Hirschberg) until a table has at most CELLS cells."""
+    weights, out, todo = Weights(slots, nodes), [], [(0, len(slots), 0, len(nodes))]
+    while todo:
+        i, n, j, m = todo.pop()
+        if n - i > 1 and (n - i) * (m - j) > CELLS:
+            half = (i + n) // 2
+            head = last((weights.row(x, j, m) for x in range(i, half)), m - j)
+            tail = last((weights.row(x, j, m)[::-1] for x in range(n - 1, half - 1, -1)), m - j)
+            cut = j + int(np.argmax(head + tail[::-1]))
+            todo += [(i, half, j, cut), (half, n, cut, m)]
+            continue
+        best = np.zeros((n - i + 1, m - j + 1), np.int64)
+        for x in range(n - i):
+            best[x + 1, 1:] = np.maximum.accumulate(np.maximum(best[x, 1:], best[x, :-1] + weights.row(i + x, j, m)))
+        x, y = n - i, m - j
+        while x and y:
+            if best[x, y] == best[x - 1, y]:
+                x -= 1
+            elif best[x, y] == best[x, y - 1]:
+                y -= 1
+            else:
+                x, y = x - 1, y - 1
+                out.append((slots[i + x], nodes[j + y]))
+    return out
+
+
 def align(template: Slot, node: Node) -> list[tuple[Slot, Node]]:
     pairs: list = [(template, node)]
     match(template, node, pairs)
