@@ -338,6 +338,18 @@ def test_long_added_spans():
         assert pii.masked(f"kontakt {t} now", w) == "kontakt <EMAIL> now"
 
 
+def test_trigger_loses_no_candidate():
+    """A number or mail is judged alike whether or not an unrelated trigger stands near."""
+    seen = []
+    for t in ("06 12 34 56 78", "06-12-34-56-78", "(06) 12 34 56 78", "1 2 3 4 5 6 7 8 9", "jo.doe [@] mail.com"):
+        text = f"call {t} now"
+        assert [m for m in pii.TRIGGER.finditer(text)], t
+        tokens, found = pii.segments(text, 0, len(text), [])
+        assert any((tokens[i][0], tokens[j - 1][1]) == (5, 5 + len(t)) for i, j, *_ in found)
+        seen.append(pii.find(text, pii.weights())[1] == pii.find(text + " and 123", pii.weights())[1])
+    assert all(seen)
+
+
 def test_segment_decoding_is_the_best():
     """The dynamic program against all sequences of segments."""
     r, w = random.Random(4), {"a": 3.0, "b": 2.6, "c": 5.0}

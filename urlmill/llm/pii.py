@@ -87,7 +87,8 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the semi-Markov CRF
 
-TRIGGER = re.compile(r"[0-9]{3}|[0-9a-fA-F]:[0-9a-fA-F:]|[\[({]\s?(?:at|dot)\s?[\])}]", re.I)
+# All that segments() can accept has one of these: nine digits with separators, a hex group beside a colon, a bracketed at.
+TRIGGER = re.compile(r"[0-9]{3}|[0-9](?:[ ()./-]*+[0-9]){8}|[0-9a-fA-F]:[0-9a-fA-F:]|[\[({]\s?(?:at|@|dot)\s?[\])}]", re.I)
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 AT = re.compile(r"[\[({]\s?(?:at|@)\s?[\])}]", re.I)
 NUMBER = re.compile(r"[+(]?[0-9][0-9 ()./-]*[0-9]\Z")
