@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -238,27 +240,154 @@ def test_long_alignment_is_the_largest(monkeypatch):
         tag = r.choice(["div", "ul"])
         return f"<{tag}>{''.join(tree(depth - 1) for _ in range(r.randint(0, 4))) if depth else ''}{r.choice(['', '', 'a', 'b', 'c'])}</{tag}>"
 
+    def brute(slot, node):
+        """The largest alignment by plain recursion over both lists."""
+        if not slot.kids or not node.slot:
+            return 1 + (slot.text is not None and slot.text == node.text)
+
+        def best(i, j):
+            if i == len(slot.kids) or j == len(node.slot):
+                return 0
+            if (i, j) not in seen:
+                pair = brute(slot.kids[i], node.slot[j]) + best(i + 1, j + 1) if slot.kids[i].tag == node.slot[j].tag else 0
+                seen[i, j] = max(pair, best(i + 1, j), best(i, j + 1))
+            return seen[i, j]
+
+        seen = {}
+        return 1 + best(0, 0)
+
     def ordered(slot, node, pairs):
         at = [(i, j) for a, b in pairs for i, x in enumerate(slot.kids) if x is a for j, y in enumerate(node.slot) if y is b]
         return all(p[0] < q[0] and p[1] < q[1] for p, q in zip(sorted(at), sorted(at)[1:]))
 
     for _ in range(150):
-        slot = html.Slot(html.frame(html.parse("".join(tree(2) for _ in range(r.randint(1, 9))))))
+        pairs = []
+        slot = html.grown(html.frame(html.parse("".join(tree(2) for _ in range(r.randint(1, 9))))), pairs)
+        for x, y in pairs:
+            x.see(y)
         node = html.frame(html.parse("".join(tree(2) for _ in range(r.randint(1, 9)))))
-        want = html.match(slot, node, [])
-        for cells in (0, 3, 12):
+        want = brute(slot, node)
+        for small, cells in ((10**6, 10**6), (0, 0), (0, 3), (3, 12)):
+            monkeypatch.setattr(html, "SMALL_TABLE", small)
             monkeypatch.setattr(html, "CELLS", cells)
             pairs = []
             assert html.match(slot, node, pairs) == want and ordered(slot, node, pairs)
             monkeypatch.undo()
 
 
-@pytest.mark.parametrize("group", [2, 200])
-def test_pages_frame(spark, group):
+class Cut(HTMLParser):
+    """The blocks of the article of a page with an <article> and no furniture in it, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in ("p", "h1", "h2", "li", "ul", "div"):
+            self.parts.append("")
+        elif tag == "br":
+            self.parts[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in ("p", "h1", "h2", "li", "ul", "div"):
+            self.parts.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts[-1] += data
+
+    @classmethod
+    def of(cls, page):
+        c = cls()
+        c.feed(page or "")
+        c.close()
+        return "\n\n".join(x for x in (re.sub(r"\s+", " ", p).strip() for p in c.parts) if x)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_pages_equal_an_independent_extraction(spark, sf, size):
+    """The pages at hand all have one clean <article>: every text is compared with a plain cut of it by another parser."""
+    pages = spark.read.parquet(f"{sf.replace('sf0.001', size)}/pages.parquet")
+    want = {r.page_id: Cut.of(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html.extract_pages(pages).collect()} == want and len(want) >= 50
+
+
+def sites(n, seed, marked=""):
+    """Pages of one made-up layout without telling tags, and what is content in each."""
+    out, r = [], random.Random(seed)
+    for i in range(n):
+        body = [" ".join(prose(seed * 100 + i * 7 + j, r.randint(3, 30))) for j in range(r.randint(1, 6))]
+        blocks = "".join(f"<div>{b}</div>" for b in body)
+        notice = "<div>All offers end soon</div>" if i % 6 else ""
+        out.append((f"<div><div>Brand of the site</div><div><span>Weather</span> and stocks</div></div>{notice}<div {marked}><div>{blocks}</div></div><div><div>Imprint</div><div>Terms of use</div></div>", "\n\n".join(body)))
+    return out
+
+
+def test_induction_decides(monkeypatch):
+    """Without telling tags only the alignment knows the template - also slots that the first pages lack; switched off, its texts stay."""
+    pages = sites(24, 3)
+    assert html.extract([h for h, _ in pages]) == [t for _, t in pages]
+    monkeypatch.setattr(html, "SMALL", 10**9)
+    assert all("Imprint" in got and got != t for got, (_, t) in zip(html.extract([h for h, _ in pages]), pages))
+
+
+def test_small_hosts():
+    """Below MIN_PAGES a text must be in all pages; below SMALL there is no template."""
+    pages = [(h.replace("<div>All offers end soon</div>", ""), t) for h, t in sites(6, 4)]
+    assert html.extract([h for h, _ in pages]) == [t for _, t in pages]
+    assert "Imprint" in html.extract([pages[0][0]])[0]
+    assert html.extract([pages[0][0]] * 9) == html.extract([pages[0][0]]) * 9
+
+
+def test_tags_are_weights():
+    """A main element with next to no text does not hide the text beside it; one with most of it does."""
+    text = " ".join(prose(1, 90))
+    assert html.extract([f"<main><p>Go</p></main><div><p>{text}</p><p>{text}</p></div>"]) == [f"Go\n\n{text}\n\n{text}"]
+    assert html.extract([f"<main><p>{text}</p></main><div><p>Today</p></div>"]) == [text]
+
+
+def test_names_of_furniture():
+    """Whole class words only: promotion and share-price are content; menus are lists of nothing but links."""
+    for name in ("promotion", "share-price", "article-header", "noticeable", "comment-worthy"):
+        assert html.extract([f"<article><p class='{name}'>text</p></article>"]) == ["text"]
+    for name in ("ad", "ads ad-slot-1", "site-header", "COMMENTS", "comment-list", "x cookie_notice"):
+        assert html.extract([f"<article><p class='{name}'>text</p><p>more</p></article>"]) == ["more"]
+    assert html.extract(["<div><ul><li><a href=1>a</a><li><a href=2>b</a></ul><p>one</p><ul><li>two<li><a href=3>b</a></ul></div>"]) == ["one\n\ntwo\n\nb"]
+
+
+def test_malformed_pages():
+    """Reading is linear: a megabyte of any of these takes seconds; and what comes out."""
+    n = 1_000_000
+    for sign, want in [("<a ", ""), ('<div class="', ""), ("<![CDATA[", ""), ("<", "<"), ("&#9", None), ("<b></i>", ""), ("<!--", ""), ("<a b='<c ", ""), ("<script></script ", ""), ("<i><div>", ""), ("&", "&"), ("<svg/>", "")]:
+        began = time.perf_counter()
+        got = html.extract([sign * (n // len(sign))])[0]
+        assert time.perf_counter() - began < 30
+        assert want is None or got == want * (n if want else 0)
+    assert html.extract(["<b>" * 100_000 + "<hr>" * 100_000 + "x", "<div>" * 100_000 + "y"]) == ["x", "y"]
+    assert html.extract(["<p class='" + "_nav" * 250_000 + "'>x"]) == [""]
+    assert html.extract([f"<p>a&#{'9' * 5000};b &#x{'f' * 5000} &#{'0' * 5000}65; &#; 1 < 2 <3 &amp;lt;"]) == ["a\ufffdb \ufffd A &#; 1 < 2 <3 &lt;"]
+    assert html.extract(["<p title=it's>don't</p><p title='x>y'>z</p><p a=\"b>c"]) == ["don't\n\nz\n\nc"]
+
+
+def test_long_pages():
+    """Pages of thousands of blocks and of great depth, beside short ones on their host."""
+    long = [f"<article>{''.join(f'<p>{i} {j}</p>' for j in range(4000))}<p>The same</p></article>" for i in range(3)]
+    deep = [f"<article>{'<div>' * 20_000}<p>{i} deep</p></article>" for i in range(3)]
+    short = [f"<article><p>{i} short</p><p>The same</p></article>" for i in range(6)]
+    got = html.extract([*long, *deep, *short])
+    assert got[0].split("\n\n")[3999] == "0 3999" and got[3:6] == ["0 deep", "1 deep", "2 deep"] and got[6].startswith("0 short")
+
+
+@pytest.mark.parametrize("group,part,few", [(2, 1000, 10), (200, 3, 10), (200, 3, 0)])
+def test_pages_frame(spark, group, part, few):
     rows = [(i, f"https://h{i % 2}.org/{i}" if i % 5 else None, page(f"<article><p>text {i}</p></article>", i) if i % 7 else None, "x") for i in range(30)]
-    d = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string, host string")
-    got = html.extract_pages(d, group).collect()
+    d = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string, host string").withColumn("part", F.lit("x")).withColumn("parts", F.lit(9)).withColumn("text", F.lit(None).cast("string"))
+    got = html.extract_pages(d, group, part, few).collect()
     assert len(got) == 33 and all(r.text == (f"text {r.page_id}" if r.page_id % 7 else "") for r in got)
+    d = spark.createDataFrame([(None, None, None), (None, "https://h.org/", "<p>a</p>"), (None, None, "<p>b"), (4, "no url", "")], "page_id long, url string, html string")
+    assert sorted((r.page_id or -1, r.url or "", r.text) for r in html.extract_pages(d, group, part, few).collect()) == [(-1, "", ""), (-1, "", "b"), (-1, "https://h.org/", "a"), (4, "no url", "")]
 
 
 # ---- 5

@@ -1,23 +1,27 @@
 """Operator 4: the main text of web pages, by wrapper induction.
 
-Method: the DOM trees of pages of one host are aligned with the host's template by simple tree matching (the maximum number of nodes
-that two trees share in order, level by level). A template node remembers how many distinct pages have it and whether its text was the
-same in all of them: constant nodes belong to the template, varying slots are content. The content region is the page's own outermost
-<article>/<main> elements in page order if any has text, else the smallest subtree with child blocks that holds all varying slots; inside it,
-only nodes that the template shows to be constant, and menus, forms, adverts, comments and the like (by tag, role and class), are left out.
-
-Scale: pages are dealt by host, and a task takes a host's pages GROUP to 2 * GROUP at a time; each such group induces its template from all
-its pages, so a task's memory is bounded. Hosts with more than 1 / HEAVY of all pages are dealt in several parts by page_id; there are
-fewer than HEAVY such hosts, so their list is broadcast with a proven bound. Page counts per host are a map-side sum, html moves once.
-
-Defined cases: null or empty html gives an empty string; repeated pages are extracted alike and count once for the template; a null url is
-a host of its own; unclosed and stray tags are repaired as browsers do for blocks; a host with too few distinct pages has no constant
-nodes; other columns are ignored; empty table: empty result.
+Method: the DOM trees of pages of one host are aligned with the host's template by simple tree matching (the maximum number of nodes that two
+trees share in order, level by level), one after another; nodes that the template lacks are inserted into it as new slots. A slot remembers how many
+distinct pages have it and with which texts. A text that nearly all pages have in one slot is constant and belongs to the template, varying slots are
+content - wherever they stand, but for what names itself furniture by tag, role or class (menus, forms, adverts, comments and the like). The
+main text is the smallest subtree with child blocks that holds all varying slots; lists of nothing but links outside of main elements are menus. Tags are weights in that: text below <article>/<main> counts
+MAIN times, and where that outweighs the varying text elsewhere in the group's pages, a page's outermost such elements are the region.
+
+Scale: pages are dealt by host, hosts of more than PART pages in several parts, and a task takes the pages of a part GROUP to 2 * GROUP at a time; each
+such group induces its template from all its pages, so a task's memory is bounded. Page counts per host are a map-side sum; the table of hosts with
+several parts is broadcast if it has at most FEW rows (a driver-side count) and joined by a shuffle beyond. html moves once in the first case.
+Reading a page is linear in its length; equal pages of a group are read once.
+
+Defined cases: null or empty html gives an empty string; repeated pages are extracted alike and count once for the template; a null url is a host of
+its own, a null page_id stays null; unclosed and stray tags are repaired as browsers do for blocks, what follows an unclosed tag's last < is no text;
+a host with fewer than SMALL distinct pages has no constant slots, and below MIN_PAGES a constant text must be in all of them; very long and very deep
+pages are read and aligned whole; other columns are ignored, whatever their names; empty table: empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -30,11 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import spread, table
 
-GROUP, HEAVY = 200, 4096
-#: Block levels that are aligned, and the largest product of two sibling lists whose table is held at once; larger ones are halved first.
-DEPTH, CELLS = 60, 250_000
-#: A node is constant if this many distinct pages have it, in at least this share of all, all but this share with the same text.
+GROUP, PART, FEW = 200, 1000, 50_000
+#: The largest product of two sibling lists that is aligned cell by cell, and whose table is held at once; longer ones go by rows and are halved first.
+SMALL_TABLE, CELLS = 4_000, 250_000
+#: A text of a slot is constant if at least this many distinct pages have the slot, in at least this share of all, all but this share with that text.
 MIN_PAGES, MIN_SHARE, MIN_SAME = 8, 0.8, 0.95
+#: Groups of fewer distinct pages have no constant slots; below MIN_PAGES all pages must agree.
+SMALL = 4
+MAIN = 4
 
 # Fixed values of HTML: element classes of the standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,75 +51,147 @@ BLOCK = frozenset(
     "header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
+#: What an opening tag closes besides an open paragraph, and blocks beyond which neither is looked for.
+CLOSES = {"li": ("li",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
+BARRIER = BLOCK - {"p", "li", "dt", "dd", "td", "th", "tr"}
 HIDDEN = RAW | frozenset("head nav header footer aside form button select option dialog menu object canvas audio video datalist label input".split())
-SKIP = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar\w*|footer\w*|header\w*|masthead|cookies?|consent|notice\w*|"
-    r"comments?|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|widget\w*|toolbar|pagination|pager|skip-link)(?:$|[\s_-])",
-    re.I,
-)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: A class or id is furniture if all its parts are of these words, one of the first list.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promos banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar footer header masthead "
+    "cookie cookies consent gdpr notice notices comment comments disqus replies respond share sharing social related newsletter subscribe signup login popup modal overlay widget widgets toolbar pagination pager".split()
+)
+PLAIN = frozenset("site page global main top bottom left right upper lower primary secondary box bar list item items link links area wrapper wrap container inner outer section block slot unit button buttons icons form posts text content".split())
+OPEN = re.compile(r"[a-zA-Z][^\s/>]*")
+# Quotes count only after an equals sign; one that is never closed is a sign like others. Nothing is read twice.
+REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+)*+)>")
+ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?+")
+LONG_REFERENCE = re.compile(r"&#(?:0++([0-9]{0,7})(?![0-9])|0*+[0-9]{8,}|[xX]0*+[0-9a-fA-F]{7,});?")
+CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW}
 WHITE = re.compile(r"\s+")
 
 
+def decoded(text: str) -> str:
+    """The text with character references decoded; numbers beyond all code points are the replacement sign."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = LONG_REFERENCE.sub(lambda m: f"&#{m[1] or 0};" if m[1] is not None else "\ufffd", text)
+    return unescape(text)
+
+
+def furniture(names: str) -> bool:
+    """Whether a class or id among names says that the element is no content."""
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=[0-9])", name) if p and not p.isdigit()]
+        if any(p in FURNITURE for p in parts) and all(p in FURNITURE or p in PLAIN for p in parts):
+            return True
+    return False
+
+
 class Node:
-    """tag, children (nodes and strings in order), whether its attributes mark it as no content, and its own text for alignment."""
+    """tag, children (nodes and strings in order), whether its attributes mark it as no content or as main text, and its own text for alignment."""
 
-    __slots__ = ("tag", "kids", "skip", "main", "text", "size", "slot")
+    __slots__ = ("tag", "kids", "skip", "main", "text", "slot")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.kids, self.slot = tag, [], None
+        self.tag, self.kids, self.slot, self.text = tag, [], None, None
         self.skip = self.main = False
-        if attrs.strip():
-            named = {k.lower(): unescape(v.strip("\"'")) for k, v in ATTR.findall(attrs)}
+        if attrs and not attrs.isspace():
+            named = {k.lower(): decoded(v.strip("\"'")) for k, v in ATTR.findall(attrs)}
             role = named.get("role", "").lower()
-            self.skip = role in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower() or bool(SKIP.search(f"{named.get('class', '')} {named.get('id', '')}"))
+            self.skip = role in ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower() or furniture(f"{named.get('class', '')} {named.get('id', '')}")
             self.main = role == "main" or named.get("itemprop") == "articleBody"
         self.skip = self.skip or tag in HIDDEN
         self.main = not self.skip and (self.main or tag in ("article", "main"))
 
 
+class _Open:
+    """The open elements, with the places of each tag, of blocks and of barriers among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks, self.barriers = [root], defaultdict(list), [0], [0]
+
+    def push(self, node: Node) -> None:
+        place = len(self.nodes)
+        self.nodes.append(node)
+        self.at[node.tag].append(place)
+        if node.tag in BLOCK:
+            self.blocks.append(place)
+        if node.tag in BARRIER:
+            self.barriers.append(place)
+
+    def close(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.at[self.nodes.pop().tag].pop()
+        for places in (self.blocks, self.barriers):
+            while places[-1] >= place:
+                places.pop()
+
+    def last(self, *tags: str) -> int:
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
+
 def parse(html: str) -> Node:
     """The DOM tree of a page, with open paragraphs and list items closed where the standard does."""
     root = Node("html")
-    stack, at, end = [root], 0, len(html)
+    stack, at, end, cdata = _Open(root), 0, len(html), True
     while at < end:
-        m = TOKEN.search(html, at)
-        if not m:
-            stack[-1].kids.append(unescape(html[at:]))
+        lt = html.find("<", at)
+        if lt < 0:
+            stack.nodes[-1].kids.append(decoded(html[at:]))
             break
-        if m.start() > at:
-            stack[-1].kids.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+        sign = html[lt + 1 : lt + 2]
+        closing = sign == "/"
+        name = OPEN.match(html, lt + 1 + closing)
+        if not name and not closing and sign not in ("!", "?"):
+            # No tag: the sign itself and the text up to the next one.
+            after = html.find("<", lt + 1)
+            after = end if after < 0 else after
+            stack.nodes[-1].kids.append(decoded(html[at:after]))
+            at = after
+            continue
+        if lt > at:
+            stack.nodes[-1].kids.append(decoded(html[at:lt]))
+        if not name:
+            stop, width = -1, 1
+            if html.startswith("<!--", lt):
+                stop, width = html.find("-->", lt + 2), 3
+                if stop < 0:
+                    break
+            elif cdata and html.startswith("<![CDATA[", lt):
+                stop, width = html.find("]]>", lt), 3
+                cdata = stop >= 0
+            if stop < 0:
+                stop, width = html.find(">", lt), 1
+            if stop < 0:
+                break
+            at = stop + width
             continue
-        tag = m[2].lower()
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and not (tag not in BLOCK and any(x.tag in BLOCK for x in stack[depth + 1 :])):
-                del stack[depth:]
+        rest = REST.match(html, name.end())
+        if not rest:
+            break
+        tag, attrs, at = name[0].lower(), rest[1], rest.end()
+        if closing:
+            place = stack.last(tag)
+            if place and (tag in BLOCK or stack.blocks[-1] <= place):
+                stack.close(place)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in ENDS_P or tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
+        ends = CLOSES.get(tag, ()) + (("p",) if tag in ENDS_P else ())
+        if ends and (place := stack.last(*ends)) > stack.barriers[-1]:
             # A new block ends an open paragraph; a new item ends an open item of the same list.
-            for i in range(len(stack) - 1, 0, -1):
-                t = stack[i].tag
-                if (t == "p" and tag in ENDS_P) or (t == tag and tag in ("li", "td", "th", "tr", "option")) or (t in ("dt", "dd") and tag in ("dt", "dd")) or (t in ("td", "th") and tag in ("td", "th", "tr")):
-                    del stack[i:]
-                    break
-                if t in BLOCK and t not in ("p", "li", "dt", "dd", "td", "th", "tr"):
-                    break
-        node = Node(tag, m[3] or "")
-        stack[-1].kids.append(node)
-        if tag in VOID or (m[3] or "").endswith("/"):
+            stack.close(place)
+        node = Node(tag, attrs)
+        stack.nodes[-1].kids.append(node)
+        if tag in VOID or (tag in ("svg", "math") and attrs.endswith("/")):
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            close = CLOSING[tag].search(html, at)
             at = close.end() if close else end
             continue
-        stack.append(node)
+        stack.push(node)
     return root
 
 
@@ -153,16 +232,19 @@ def blocks(node: Node) -> list[str]:
 
 
 def frame(node: Node) -> Node:
-    """Sets text (own blocks of a leaf) and size of every block-level node, and keeps only those as element children in `slot`."""
-    order, depth = [node], {id(node): 0}
+    """Sets the text of every leaf among block-level nodes, and `slot`: the block-level nodes next below each, whatever inline elements are between."""
+    order = [node]
     for x in order:
-        deep = depth[id(x)] >= DEPTH
-        x.slot = [k for k in x.kids if isinstance(k, Node) and k.tag in BLOCK and k.tag not in VOID and not deep]
-        depth.update((id(k), depth[id(x)] + 1) for k in x.slot)
+        x.slot, todo = [], x.kids[::-1]
+        while todo:
+            k = todo.pop()
+            if isinstance(k, Node) and k.tag not in VOID:
+                if k.tag in BLOCK:
+                    x.slot.append(k)
+                else:
+                    todo.extend(reversed(k.kids))
         order.extend(x.slot)
-    for x in reversed(order):
         x.text = None if x.slot else WHITE.sub(" ", _inner(x)).strip()
-        x.size = 1 + sum(k.size for k in x.slot)
     return node
 
 
@@ -179,16 +261,36 @@ def _inner(node: Node) -> str:
 
 
 class Slot:
-    """A template node: tag, children, distinct pages that have it, and the text that `same` of them agree on."""
+    """A template node: tag, children, distinct pages that have it, and how many of them have which text; `text` is the most frequent, the latest of equals."""
+
+    __slots__ = ("tag", "kids", "pages", "counts", "text")
 
-    __slots__ = ("tag", "kids", "pages", "text", "same", "size")
+    def __init__(self, tag: str):
+        self.tag, self.kids, self.pages, self.counts, self.text = tag, [], 0, {}, None
 
-    def __init__(self, node: Node):
-        self.tag, self.text, self.pages, self.same, self.size = node.tag, node.text, 0, 0, node.size
-        self.kids = [Slot(k) for k in node.slot]
+    def see(self, node: Node) -> None:
+        self.pages += 1
+        if node.text is not None:
+            self.counts[node.text] = n = self.counts.get(node.text, 0) + 1
+            if self.text is None or n >= self.counts[self.text]:
+                self.text = node.text
 
-    def constant(self, pages: int) -> bool:
-        return self.pages >= max(MIN_PAGES, MIN_SHARE * pages) and self.text is not None and self.same >= MIN_SAME * self.pages
+    def constant(self, text: str | None, pages: int) -> bool:
+        if text is None or pages < SMALL:
+            return False
+        same = self.counts.get(text, 0)
+        return same == pages if pages < MIN_PAGES else self.pages >= MIN_SHARE * pages and same >= MIN_SAME * self.pages
+
+
+def grown(node: Node, pairs: list) -> Slot:
+    """A slot like node, with all below it; appends the pairs."""
+    top = Slot(node.tag)
+    new = [(top, node)]
+    for slot, x in new:
+        slot.kids = [Slot(k.tag) for k in x.slot]
+        new.extend(zip(slot.kids, x.slot))
+    pairs.extend(new)
+    return top
 
 
 def match(slot: Slot, node: Node, pairs: list) -> int:
@@ -196,24 +298,57 @@ def match(slot: Slot, node: Node, pairs: list) -> int:
 
     A pair of leaves counts twice if the texts agree, so constant leaves find each other among siblings of one tag.
     """
-    n, m = len(slot.kids), len(node.slot)
+    nested: list = []
+    size = _match(slot, node, nested)
+    todo = [nested]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            todo.extend(x)
+        else:
+            pairs.append(x)
+    return size
+
+
+def _match(slot: Slot, node: Node, pairs: list) -> int:
+    """As match; the pairs below a pair are a list of their own within pairs."""
+    slots, nodes, head = slot.kids, node.slot, 0
+    n, m = len(slots), len(nodes)
     if not n or not m:
         return 1 + (slot.text is not None and slot.text == node.text)
-    if n * m > CELLS:
-        even = long_pairs(slot.kids, node.slot)
-        pairs.extend(even)
-        return 1 + sum(match(a, b, pairs) for a, b in even)
+    # No leaf counts more than with its equal, so equal leaves at the ends are pairs of a largest alignment.
+    while head < n and head < m and _equal(slots[head], nodes[head]):
+        pairs.append((slots[head], nodes[head]))
+        head += 1
+    total = 2 * head
+    while n > head and m > head and _equal(slots[n - 1], nodes[m - 1]):
+        n, m = n - 1, m - 1
+        pairs.append((slots[n], nodes[m]))
+        total += 2
+    if n == head or m == head:
+        return 1 + total
+    slots, nodes, n, m = slots[head:n], nodes[head:m], n - head, m - head
+    if n * m > SMALL_TABLE:
+        for a, b in long_pairs(slots, nodes):
+            pairs.append((a, b))
+            total += _match(a, b, pairs)
+        return 1 + total
+    if n == m == 1:
+        if slots[0].tag == nodes[0].tag:
+            pairs.append((slots[0], nodes[0]))
+            total += _match(slots[0], nodes[0], pairs)
+        return 1 + total
     inner, best = {}, [[0] * (m + 1)]
-    for i, a in enumerate(slot.kids):
+    for i, a in enumerate(slots):
         row, above = [0], best[-1]
-        for j, b in enumerate(node.slot):
+        for j, b in enumerate(nodes):
             most = above[j + 1] if above[j + 1] >= row[j] else row[j]
             if a.tag == b.tag:
                 if not a.kids or not b.slot:
                     weight = 1 + (a.text is not None and a.text == b.text)
                 else:
                     found: list = []
-                    weight = match(a, b, found)
+                    weight = _match(a, b, found)
                     inner[i, j] = found
                 if above[j] + weight > most:
                     most = above[j] + weight
@@ -227,9 +362,14 @@ def match(slot: Slot, node: Node, pairs: list) -> int:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((slot.kids[i], node.slot[j]))
-            pairs.extend(inner.get((i, j), ()))
-    return 1 + best[n][m]
+            pairs.append((slots[i], nodes[j]))
+            if (i, j) in inner:
+                pairs.append(inner[i, j])
+    return 1 + total + best[n][m]
+
+
+def _equal(a: Slot, b: Node) -> bool:
+    return a.tag == b.tag and not a.kids and not b.slot and a.text == b.text
 
 
 class Weights:
@@ -241,21 +381,24 @@ class Weights:
     def __init__(self, slots: list[Slot], nodes: list[Node]):
         self.slots, self.nodes, self.shapes, self.known = slots, nodes, {}, {}
         self.at, self.rows = defaultdict(list), {}
-        left, right = [self._shape(x) for x in slots], [self._shape(x) for x in nodes]
-        self.left, self.leaves = [s for s, _ in left], ([t for _, t in left], [t for _, t in right])
+        self.left, right = [self._shape(x) for x in slots], [self._shape(x) for x in nodes]
+        self.leaves = [_texts(x) for x in slots], [_texts(x) for x in nodes]
         self.texts = tuple([set(t) - {"", None} for t in side] for side in self.leaves)
         for j, has in enumerate(self.texts[1]):
             for t in has:
                 self.at[t].append(j)
-        self.kinds, self.right = np.unique(np.array([s for s, _ in right]), return_inverse=True)
+        self.kinds, self.right = np.unique(np.array(right), return_inverse=True)
         self.shape_of = {v: k for k, v in self.shapes.items()}
 
-    def _shape(self, x: Slot | Node) -> tuple[int, list[str]]:
-        """The number of a tree without its texts, and the texts of its leaves."""
+    def _shape(self, x: Slot | Node) -> int:
+        """The number of a tree without its texts."""
         kids = x.kids if isinstance(x, Slot) else x.slot
-        below = [self._shape(k) for k in kids]
-        key = (x.tag, not kids and x.text == "", tuple(s for s, _ in below))
-        return self.shapes.setdefault(key, len(self.shapes)), [t for _, has in below for t in has] if kids else [x.text]
+        key = (x.tag, x.text == "", tuple([self._shape(k) for k in kids]))
+        return self.shapes.setdefault(key, len(self.shapes))
+
+    def alike(self) -> bool:
+        """Whether all pairs weigh the same: one shape, no text in common. Then any ordered alignment of the shorter list is a largest one."""
+        return len(self.kinds) == 1 and {*self.left} == {*self.kinds.tolist()} and not set().union(*self.texts[0]) & self.at.keys()
 
     def _pair(self, i: int, j: int) -> int:
         """The weight of two trees of one tag that share texts: equal for all of their shapes with the same texts in the same places."""
@@ -297,6 +440,16 @@ class Weights:
         return out
 
 
+def _texts(top: Slot | Node) -> list[str | None]:
+    """The texts of a tree, parents first."""
+    out, todo = [], [top]
+    while todo:
+        x = todo.pop()
+        out.append(x.text)
+        todo.extend(x.kids if isinstance(x, Slot) else x.slot)
+    return out
+
+
 def last(rows: Iterable[np.ndarray], m: int) -> np.ndarray:
     """The last row of the alignment table."""
     best = np.zeros(m + 1, np.int64)
@@ -308,6 +461,8 @@ def last(rows: Iterable[np.ndarray], m: int) -> np.ndarray:
 def long_pairs(slots: list[Slot], nodes: list[Node]) -> list[tuple[Slot, Node]]:
     """A largest ordered alignment of two long sibling lists, by halving the first (Hirschberg) until a table has at most CELLS cells."""
     weights, out, todo = Weights(slots, nodes), [], [(0, len(slots), 0, len(nodes))]
+    if weights.alike():
+        return list(zip(slots, nodes))
     while todo:
         i, n, j, m = todo.pop()
         if n - i > 1 and (n - i) * (m - j) > CELLS:
@@ -333,97 +488,159 @@ def long_pairs(slots: list[Slot], nodes: list[Node]) -> list[tuple[Slot, Node]]:
 
 
 def align(template: Slot, node: Node) -> list[tuple[Slot, Node]]:
+    """The pairs of a largest alignment of node with the template, into which what it lacks is inserted as new slots."""
     pairs: list = [(template, node)]
     match(template, node, pairs)
+    of = {id(x): slot for slot, x in pairs}
+    for slot, x in pairs[:]:
+        if x.slot and not all(id(k) in of for k in x.slot):
+            merged, at, place = [], 0, {id(s): i for i, s in enumerate(slot.kids)}
+            for k in x.slot:
+                if id(k) in of:
+                    to = place[id(of[id(k)])] + 1
+                    merged += slot.kids[at:to]
+                    at = to
+                else:
+                    merged.append(grown(k, pairs))
+            slot.kids = merged + slot.kids[at:]
     return pairs
 
 
-def induce(pages: list[Node]) -> tuple[Slot, int, dict[int, list]]:
-    """The template of framed pages, how many distinct pages it has seen, and their alignments. The largest tree is its skeleton."""
-    distinct = list({tuple(blocks(p)): p for p in pages}.values())
-    template, pairs = Slot(max(distinct, key=lambda p: min(p.size, 400))), {}
-    for page in distinct:
-        pairs[id(page)] = align(template, page)
-        for slot, node in pairs[id(page)]:
-            slot.pages += 1
-            if slot.text is not None and node.text == slot.text:
-                slot.same += 1
-    return template, len(distinct), pairs
+def induce(pages: list[Node]) -> list[list[tuple[Slot, Node]]]:
+    """The alignment of each of several framed pages with the template of all of them. Short pages come first, so a long one is aligned once."""
+    template, out = Slot("html"), {}
+    for i in sorted(range(len(pages)), key=lambda i: len(pages[i].slot)):
+        out[i] = align(template, pages[i])
+        for slot, node in out[i]:
+            slot.see(node)
+    return [out[i] for i in range(len(pages))]
+
+
+class Varying:
+    """Where a page has text that is neither constant nor marked as no content."""
+
+    def __init__(self, page: Node, constant: dict[int, Node]):
+        self.page, self.constant, self.has, self.weight, self.own = page, constant, set(), {}, {}
+        self.mains, todo = [], [page]
+        while todo:
+            x = todo.pop()
+            if x.main:
+                if blocks(x):
+                    self.mains.append(x)
+            elif x.tag in ("ul", "ol") and len(x.slot) > 1 and not any(_plain(k) for k in x.kids):
+                x.skip = True  # a menu: a list of nothing but links
+            else:
+                todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not k.skip)
+        for x in [page, *_below(page)][::-1]:
+            own = 0 if id(x) in constant else _beside(x)
+            self.weight[id(x)] = own + sum(self.weight.get(id(k), 0) for k in x.slot)
+            if own:
+                self.own[id(x)] = own
+            if self.weight[id(x)]:
+                self.has.add(id(x))
+
+    def shares(self) -> tuple[int, int]:
+        """Characters of varying text in main elements, and elsewhere."""
+        main = sum(self.weight.get(id(x), 0) if x.slot is not None else _beside(x) for x in self.mains)
+        return main, max(0, self.weight[id(self.page)] - main)
+
+    def region(self) -> Node:
+        """The smallest subtree with child blocks that holds all varying text."""
+        at = self.page
+        while True:
+            holds = [k for k in at.slot if id(k) in self.has]
+            if len(holds) != 1 or not holds[0].slot or id(at) in self.own:
+                return at
+            at = holds[0]
+
+
+def _beside(node: Node) -> int:
+    """Characters of text outside of a node's child slots that is not skipped."""
+    out, slots, todo = 0, {id(k) for k in node.slot or ()}, list(node.kids)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if x and not x.isspace():
+                out += len(x)
+        elif not x.skip and id(x) not in slots:
+            todo.extend(x.kids)
+    return out
 
 
-def region(page: Node, constant: dict[int, Node]) -> list[Node]:
-    """The nodes that hold the main text, in page order."""
-    todo, found = [page], []
+def _below(node: Node) -> Iterator[Node]:
+    """Framed nodes below a node and outside of skipped ones, parents first."""
+    todo = [k for k in node.slot or () if not k.skip]
     while todo:
         x = todo.pop()
-        if x.main:
-            found.append(x)
-        else:
-            todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not k.skip)
-    if found := [x for x in found if blocks(x)]:
-        return found
-    # Framed nodes with text below them that is neither skipped nor constant; text beside child blocks is in no slot and never constant.
-    varying: set[int] = set()
-    for x in [page, *_below(page)][::-1]:
-        if id(x) not in constant and (any(id(k) in varying for k in x.slot) or _beside(x)):
-            varying.add(id(x))
-    at = page
-    while True:
-        holds = [k for k in at.slot if id(k) in varying]
-        if len(holds) != 1 or not holds[0].slot or _beside(at):
-            return [at]
-        at = holds[0]
-
-
-def _beside(node: Node) -> bool:
-    """Whether a node has text outside of its child slots that is not skipped."""
-    slots, todo = {id(k) for k in node.slot}, list(node.kids)
+        yield x
+        todo.extend(k for k in x.slot if not k.skip)
+
+
+def _plain(top: Node | str) -> bool:
+    """Whether there is text outside of links."""
+    todo = [top]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             if x and not x.isspace():
                 return True
-        elif not x.skip and id(x) not in slots:
+        elif x.tag != "a" and not x.skip:
             todo.extend(x.kids)
     return False
 
 
 def extract(pages: list[str | None]) -> list[str]:
     """Main texts of pages of one host."""
-    trees = [frame(parse(h or "")) for h in pages]
-    template, seen, pairs = induce(trees)
-    out = []
-    for tree in trees:
-        constant = {}
-        if seen >= MIN_PAGES:
-            constant = {id(node): node for slot, node in pairs.get(id(tree)) or align(template, tree) if slot.constant(seen)}
-        tops = region(tree, constant)
-        inside = [x for top in tops for x in (top, *_below(top)) if id(x) in constant]
-        # Where most of it is constant, the pages are versions of one article.
-        if 2 * sum(len(x.text) for x in inside) <= sum(len(b) for top in tops for b in blocks(top)):
-            for node in inside:
-                node.skip = True
-        out.append("\n\n".join(b for top in tops if not top.skip for b in blocks(top)))
-    return out
+    trees = {h: frame(parse(h or "")) for h in dict.fromkeys(pages)}
+    # Pages with one text count once, and equal trees are read alike.
+    distinct = {tuple(blocks(t)): t for t in reversed(trees.values())}
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(10**6)  # trees may be as deep as pages are long
+    try:
+        pairs = dict(zip(distinct, induce(list(distinct.values()))))
+        views, main, rest = {}, 0, 0
+        for h, tree in trees.items():
+            key = tuple(blocks(tree))
+            found = pairs[key] if distinct[key] is tree else _against(pairs[key][0][0], tree)
+            constant = {id(node): node for slot, node in found if slot.constant(node.text, len(distinct))}
+            views[h] = view = Varying(tree, constant)
+            if distinct[key] is tree:
+                a, b = view.shares()
+                main, rest = main + MAIN * a, rest + b
+    finally:
+        sys.setrecursionlimit(limit)
+    texts = {h: _text(view, main >= rest) for h, view in views.items()}
+    return [texts[h] for h in pages]
+
+
+def _against(template: Slot, node: Node) -> list[tuple[Slot, Node]]:
+    pairs: list = [(template, node)]
+    match(template, node, pairs)
+    return pairs
 
 
-def _below(node: Node) -> Iterator[Node]:
-    """Framed nodes below a node and outside of skipped ones, parents first."""
-    todo = [k for k in node.slot if not k.skip]
-    while todo:
-        x = todo.pop()
-        yield x
-        todo.extend(k for k in x.slot if not k.skip)
+def _text(view: Varying, by_tags: bool) -> str:
+    """The main text of a page."""
+    if by_tags and view.mains:
+        tops = view.mains
+    else:
+        tops = [view.region()]
+    inside = [x for top in tops for x in (top, *_below(top)) if id(x) in view.constant]
+    # Where most of it is constant, the pages are versions of one article.
+    if 2 * sum(len(x.text) for x in inside) <= sum(len(b) for top in tops for b in blocks(top)):
+        for node in inside:
+            node.skip = True
+    return "\n\n".join(b for top in tops if not top.skip for b in blocks(top))
 
 
-def extract_pages(pages: DataFrame, group: int = GROUP) -> DataFrame:
+def extract_pages(pages: DataFrame, group: int = GROUP, part: int = PART, few: int = FEW) -> DataFrame:
     """page_id, url, text of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     named = pages.select("page_id", "url", "html", host.alias("host"))
-    unit = max(group, -(-named.count() // HEAVY))
-    heavy = named.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / unit).cast("int").alias("parts")).where("parts > 1")
-    dealt = named.join(F.broadcast(heavy), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))))
-    ready = dealt.select("host", "part", "page_id", "url", "html").repartition(spread(pages), "host", "part").sortWithinPartitions("host", "part", "page_id")
+    heavy = named.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")).where("parts > 1")
+    heavy = F.broadcast(heavy) if heavy.limit(few + 1).count() <= few else heavy
+    dealt = named.join(heavy, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
+    ready = dealt.select("host", "part", "page_id", "url", "html").repartition(spread(pages), "host", "part").sortWithinPartitions("host", "part", "page_id", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
