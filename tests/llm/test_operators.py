@@ -582,7 +582,7 @@ def test_topk(spark, block):
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.normal(0, 0.2, 12)], 1) for i in range(400)]
     rows += [(500 + i, rows[0][1], 2) for i in range(8)] + [(600, None, 1), (601, [], 1), (602, [float("nan")] * 12, 1), (603, [1.0, None] * 6, 1), (650, [float("inf")] * 12, 1), (700, [1.0, 2.0], 1), (701, [0.5, 0.5], 1), (None, rows[1][1], 1), (7, rows[7][1], 9)]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("v", F.lit("clash")).withColumn("rank", F.lit(0))
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("v", F.lit("clash")).withColumn("rank", F.lit(0)).withColumn("key", F.lit("x")).withColumn("low", F.lit(1)).withColumn("place", F.lit(1))
     ok = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
     for q, x in ok:
@@ -592,6 +592,26 @@ def test_topk(spark, block):
     assert {tuple(r) for r in topk.search(d, block=block).collect()} == want
 
 
+def test_topk_odd_vectors(spark):
+    """A vector in a third of all rows, repeated ids, whole-number components of any size, long vectors, and scores that leave 64 bits."""
+    r = random.Random(4)
+    rows = [(i, [float(r.choice([0, 1, 1000, -3, 10**6, -4 * 10**6])) for _ in range(6)]) for i in range(200)] + [(i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(190, 300)]
+    rows += [(250, [1e6] * 6)] * 7 + [(400 + i, [r.uniform(-1, 1) for _ in range(3000)]) for i in range(60)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    asks = {}
+    for i, v in ok:
+        if i % 50 == 0:
+            asks[i] = min(v, asks.get(i, v))
+    want = set()
+    for q, x in asks.items():
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in ok if i != q and len(y) == len(x))[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in topk.search(d).collect()} == want
+    d = spark.createDataFrame([(0, [1e30, 1e30]), (1, [1e30, 1e30]), (2, [-1e30, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(x.vec_id, x.score) for x in sorted(topk.search(d).collect(), key=lambda x: x.rank)] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
 # ---- 10
 
 
