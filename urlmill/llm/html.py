@@ -68,7 +68,6 @@ REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?
 ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+))?+")
 LONG_REFERENCE = re.compile(r"&#(?:0++([0-9]{0,7})(?![0-9])|0*+[0-9]{8,}|[xX]0*+[0-9a-fA-F]{7,});?")
 CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW}
-WHITE = re.compile(r"\s+")
 
 
 def decoded(text: str) -> str:
@@ -200,7 +199,7 @@ def blocks(node: Node) -> list[str]:
     out, run = [], []
 
     def flush() -> None:
-        text = WHITE.sub(" ", "".join(run)).strip()
+        text = " ".join("".join(run).split())
         run.clear()
         if text:
             out.append(text)
@@ -244,7 +243,7 @@ def frame(node: Node) -> Node:
                 else:
                     todo.extend(reversed(k.kids))
         order.extend(x.slot)
-        x.text = None if x.slot else WHITE.sub(" ", _inner(x)).strip()
+        x.text = None if x.slot else " ".join(_inner(x).split())
     return node
 
 
@@ -525,7 +524,7 @@ class Varying:
         while todo:
             x = todo.pop()
             if x.main:
-                if blocks(x):
+                if _holds_text(x):
                     self.mains.append(x)
             elif x.tag in ("ul", "ol") and len(x.slot) > 1 and not any(_plain(k) for k in x.kids):
                 x.skip = True  # a menu: a list of nothing but links
@@ -554,6 +553,19 @@ class Varying:
             at = holds[0]
 
 
+def _holds_text(top: Node) -> bool:
+    """Whether there is text below a node that is not skipped."""
+    todo = [top]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if x and not x.isspace():
+                return True
+        elif not x.skip:
+            todo.extend(reversed(x.kids))
+    return False
+
+
 def _beside(node: Node) -> int:
     """Characters of text outside of a node's child slots that is not skipped."""
     out, slots, todo = 0, {id(k) for k in node.slot or ()}, list(node.kids)
@@ -593,14 +605,15 @@ def extract(pages: list[str | None]) -> list[str]:
     """Main texts of pages of one host."""
     trees = {h: frame(parse(h or "")) for h in dict.fromkeys(pages)}
     # Pages with one text count once, and equal trees are read alike.
-    distinct = {tuple(blocks(t)): t for t in reversed(trees.values())}
+    keys = {h: tuple(blocks(t)) for h, t in trees.items()}
+    distinct = {keys[h]: t for h, t in reversed(trees.items())}
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(10**6)  # trees may be as deep as pages are long
     try:
         pairs = dict(zip(distinct, induce(list(distinct.values()))))
         views, main, rest = {}, 0, 0
         for h, tree in trees.items():
-            key = tuple(blocks(tree))
+            key = keys[h]
             found = pairs[key] if distinct[key] is tree else _against(pairs[key][0][0], tree)
             constant = {id(node): node for slot, node in found if slot.constant(node.text, len(distinct))}
             views[h] = view = Varying(tree, constant)
@@ -627,7 +640,7 @@ def _text(view: Varying, by_tags: bool) -> str:
         tops = [view.region()]
     inside = [x for top in tops for x in (top, *_below(top)) if id(x) in view.constant]
     # Where most of it is constant, the pages are versions of one article.
-    if 2 * sum(len(x.text) for x in inside) <= sum(len(b) for top in tops for b in blocks(top)):
+    if inside and 2 * sum(len(x.text) for x in inside) <= sum(len(b) for top in tops for b in blocks(top)):
         for node in inside:
             node.skip = True
     return "\n\n".join(b for top in tops if not top.skip for b in blocks(top))
