@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import spread, table
 
-GROUP, PART, FEW = 200, 1000, 50_000
+GROUP, PART, FEW = 200, 400, 50_000
 #: The largest product of two sibling lists that is aligned cell by cell, and whose table is held at once; longer ones go by rows and are halved first.
 SMALL_TABLE, CELLS = 4_000, 250_000
 #: A text of a slot is constant if at least this many distinct pages have the slot, in at least this share of all, all but this share with that text.
