@@ -543,6 +543,48 @@ def test_thresholds_bound_false_rejections(spark):
     assert quality.filter_documents(d, labels.limit(0)).count() == 1600
 
 
+def test_steps_are_the_last_that_hold(spark):
+    """The steps of three strata, one too small for any, against plain sums."""
+    from math import comb
+
+    r = random.Random(12)
+    good = [(s, min(quality.STEPS + 1, r.choice([31] * 30 + [r.randint(0, 31)]))) for s, n in (("en", 900), ("de", 300), ("fr", 181)) for _ in range(n)] + [("es", 31)] * 182
+    want = {}
+    for s in ("en", "de", "fr", "es"):
+        levels = [x for t, x in good if t == s]
+        k = [sum(x <= t for x in levels) for t in range(quality.STEPS + 1)]
+        n, p = len(levels), quality.RISK
+        holds = [sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(x + 1)) <= quality.CONFIDENCE / 5 for x in k]
+        want[s] = (holds + [False]).index(False) - 1
+    got = {x.stratum: x.step for x in quality.steps(spark.createDataFrame(good, "stratum string, level int")).collect()}
+    assert got == want and want["fr"] == -1 and want["es"] == quality.STEPS and 0 <= want["en"] < quality.STEPS
+    cuts = {(x.stratum, x.rule): x.cutoff for x in quality.cutoffs(spark.createDataFrame([("en", 30), ("de", -1)], "stratum string, step int")).collect()}
+    assert cuts == {("en", r): pytest.approx(b) for r, (_, b) in quality.PATH.items()}
+
+
+def test_cutoffs_decide_at_the_correctness_scale(spark, sf, duck):
+    """Tables on which a cutoff is found: kept is not just what the base rules leave, and equals the SQL twin."""
+    import duckdb
+
+    size, con = sf.replace("sf0.001", "sf0.01"), duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{size}/{t}.parquet'")
+    out = quality.query(spark, size)
+    same_rows(out, con, quality.SQL)
+    assert out.where("not base_failed and not kept").count() >= 20
+
+
+def test_quality_odd_rows(spark):
+    """Null and blank texts, null languages, long texts, repeated rows and clashing columns."""
+    long = " ".join(f"w{i}" for i in range(200_000))
+    d = docs(spark, [None, "", " \n ", long, long + " " + "x y z " * 100_000, "word " * 10]).withColumn("_words", F.lit(1)).withColumn("level", F.lit("l")).withColumn("step", F.lit(9)).withColumn("kept", F.lit(False)).withColumn("n_words", F.lit(0))
+    d = d.unionByName(d).withColumn("lang", F.lit(None).cast("string"))
+    labels = spark.createDataFrame([(3, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.filter_documents(d, labels)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [3, 3]
+    assert quality.filter_documents(d.limit(0), labels.limit(0)).count() == 0
+
+
 # ---- 8
 
 

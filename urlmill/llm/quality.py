@@ -1,19 +1,20 @@
 """Operator 7 [native]: quality rules with risk-controlled thresholds.
 
-Method: every rule has a score that grows as a document gets worse. Labelled documents are the holdout. For each stratum
-(language class) and rule, cutoffs of a fixed grid are tested from the most lenient to the strictest; a cutoff holds if the exact
-binomial tail P(X <= k | n, limit) of its k rejections among the stratum's n good documents is at most
-confidence / (strata * rules) - Bonferroni over strata and rules, fixed-sequence testing along the grid. The strictest cutoff
-before the first failure is taken; where none holds, the rule rejects nothing in that stratum. Each rule may falsely reject at most
-`risk / rules` of the good documents, so all rules together at most `risk`.
+Method: every rule has a score that grows as a document gets worse, and a cutoff that goes in STEPS equal steps from lenient to strict, all rules at once:
+a fixed path that ends where published rules for web text stand. A document's level is the first step at which any rule rejects it. Labelled documents
+that pass the base rules are the holdout. For each stratum (language class) the steps are tested from the most lenient on; a step holds if the exact
+binomial tail P(X <= k | n, RISK) of its k rejections among the stratum's n good documents is at most CONFIDENCE / strata - fixed-sequence testing
+along the path needs no correction, Bonferroni corrects over the strata. The last step before the first failure gives the stratum's cutoffs; where none
+holds, the rules reject nothing there. So with confidence 1 - CONFIDENCE in no stratum are more than RISK of the good documents that
+pass the base rules rejected by all rules together. A stratum needs log(CONFIDENCE / strata) / log(1 - RISK) = 182 good documents for any cutoff.
 
 All of it is Spark SQL expressions: no Python runs on executors, and nothing but the driver-side plan is built in Python. A text's
-measures need only that text, so documents are not shuffled; the cutoffs are at most strata * rules = 20 rows, broadcast.
-Labels join their documents by doc_id; only measures (a few numbers a row) move.
+measures need only that text, so documents are not shuffled; the steps chosen are at most 5 rows, broadcast.
+Labels join their documents by doc_id; only measures (a few numbers a row) move. `filter_documents` writes rows and measures once.
 
-Defined cases: a null or blank text has zero words and measures, fails the base rule and is not kept; a null lang is in the stratum
-"other"; labels with a null quality and repeated (doc_id, quality) labels count once; no labels: only the base rule decides; repeated
-rows are judged alike; empty table: empty result; other columns of the input are ignored by `measures` and kept by `filter_documents`.
+Defined cases: a null or blank text has zero words and measures, fails the base rule and is not kept; a text of any length is measured whole, in one row; a null
+lang is in the stratum "other"; labels with a null quality do not count, repeated ones count once, and each row of a repeated doc_id; no labels: only the base rule decides; repeated
+rows are judged alike; empty table: empty result; other columns of the input are ignored by the query and kept by `filter_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,20 +25,17 @@ from pyspark.sql import functions as F
 from .common import SPACE, materialize, table
 
 STRATA = ("en", "fr", "de", "es")
-#: rule: (numerator, denominator) of its score, and the grid of cutoffs from lenient to strict
+#: rule: (numerator, denominator) of its score
 RULES = {
     "symbols": ("n_symbols", "n_words"),
     "repeats": ("n_repeat_words", "n_words"),
     "dup_lines": ("n_dup_lines", "n_lines"),
     "long_words": ("word_chars", "n_words"),
 }
-GRIDS = {
-    "symbols": [3.0 - 0.1 * i for i in range(30)],
-    "repeats": [1.0 - 0.02 * i for i in range(50)],
-    "dup_lines": [1.0 - 0.02 * i for i in range(50)],
-    "long_words": [40.0 - 1.0 * i for i in range(34)],
-}
-RISK, CONFIDENCE = 0.02, 0.05
+#: rule: its first and last cutoff
+PATH = {"symbols": (3.0, 0.1), "repeats": (1.0, 0.2), "dup_lines": (1.0, 0.3), "long_words": (40.0, 10.0)}
+STEPS = 30
+RISK, CONFIDENCE = 0.025, 0.05
 MIN_WORDS, MAX_REPEAT = 50, 50
 SYMBOLS = "[#*$%&|<>]"
 
@@ -79,9 +77,16 @@ def stratum(lang: Column) -> Column:
     return F.when(lang.isin(*STRATA), lang).otherwise("other")
 
 
-def scores(rules=RULES) -> list[Column]:
-    """The score of each rule; 0 where there are no words or lines."""
-    return [F.when(F.col(d) > 0, F.col(n).cast("double") / F.col(d)).otherwise(0.0).alias(r) for r, (n, d) in rules.items()]
+def score(rule: str) -> Column:
+    """The score of a rule; 0 where there are no words or lines."""
+    n, d = RULES[rule]
+    return F.when(F.col(d) > 0, F.col(n).cast("double") / F.col(d)).otherwise(0.0)
+
+
+def level() -> Column:
+    """The first step at which a rule rejects: its cutoff lies below the score; STEPS + 1 if none does."""
+    first = [F.floor((F.lit(lenient) - score(r)) / F.lit((lenient - strict) / STEPS)) + 1 for r, (lenient, strict) in PATH.items()]
+    return F.greatest(F.lit(0), F.least(F.lit(STEPS + 1), *first)).cast("int")
 
 
 def base_failed() -> Column:
@@ -98,31 +103,28 @@ def tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= 1, F.aggregate(F.sequence(F.lit(1).cast("long"), k), start, step, lambda s: s.p)).otherwise(F.exp(n * F.log(F.lit(1 - p))))
 
 
-def cutoffs(good: DataFrame, rules=RULES, grids=GRIDS, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest cutoff that the holdout supports; score > cutoff rejects.
+def steps(good: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """(stratum, step): the last step that the holdout supports, -1 for none. good: stratum and level of good labelled documents, counted by map-side sums."""
+    counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("level") <= t).cast("long")).alias(f"k{t}") for t in range(STEPS + 1)])
+    each = counts.select("stratum", "n", F.posexplode(F.array(*[F.col(f"k{t}") for t in range(STEPS + 1)])).alias("step", "k"))
+    # From P(X <= k) <= level, k < n * risk follows, so longer sums are not needed.
+    few = F.col("k") <= F.col("n") * risk
+    holds = few & (tail(F.when(few, F.col("k")).otherwise(0), F.col("n"), risk) <= confidence / (len(STRATA) + 1))
+    failed = F.min(F.when(~holds, F.col("step")))
+    return each.groupBy("stratum").agg((F.coalesce(failed, F.lit(STEPS + 1)) - 1).alias("step"))
+
 
-    good: stratum and the scores of good labelled documents. At most (strata + 1) * rules rows, each with an array of a
-    grid's length; the counts of all documents are map-side sums.
-    """
-    limit, level = risk / len(rules), confidence / ((len(STRATA) + 1) * len(rules))
-    counts = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col(r) > F.lit(c)).cast("long")).alias(f"{r}_{i}") for r in rules for i, c in enumerate(grids[r])])
-    # From P(X <= k) <= level, k < n * limit follows, so longer sums are not needed.
-    holds = lambda k: (k <= F.col("n") * limit) & (tail(F.when(k <= F.col("n") * limit, k).otherwise(0), F.col("n"), limit) <= level)
-    rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"{r}_{i}").alias("k")) for i, c in enumerate(grids[r])]).alias("steps")) for r in rules])
-    each = counts.select("stratum", "n", F.inline(rows))
-    tested = each.select("stratum", "rule", F.explode("steps").alias("step"), "n").select("stratum", "rule", "step.c", holds(F.col("step.k")).alias("ok"))
-    failed = tested.groupBy("stratum", "rule").agg(F.coalesce(F.max(F.when(~F.col("ok"), F.col("c"))), F.lit(float("-inf"))).alias("bad"), F.collect_list(F.when(F.col("ok"), F.col("c"))).alias("held"))
-    return failed.select("stratum", "rule", F.array_min(F.filter("held", lambda c: c > F.col("bad"))).alias("cutoff"))
+def cutoffs(chosen: DataFrame) -> DataFrame:
+    """(stratum, rule, cutoff) of the steps chosen; score > cutoff rejects."""
+    each = [F.struct(F.lit(r).alias("rule"), (F.lit(a) - F.col("step") * F.lit((a - b) / STEPS)).alias("cutoff")) for r, (a, b) in PATH.items()]
+    return chosen.where("step >= 0").select("stratum", F.inline(F.array(*each)))
 
 
-def judged(seen: DataFrame, good: DataFrame, *keep: str, rules=RULES, **how) -> DataFrame:
+def judged(seen: DataFrame, good: DataFrame, *keep: str, **how) -> DataFrame:
     """base_failed and kept for measured documents `seen` with a lang; good: measured good documents of the holdout."""
-    cuts = cutoffs(good.where(~base_failed()).select(stratum(F.col("lang")).alias("stratum"), *scores(rules)), rules=rules, **how)
-    wide = cuts.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in rules])
-    joined = seen.withColumn("_stratum", stratum(F.col("lang"))).join(F.broadcast(wide), F.col("_stratum") == F.col("stratum"), "left")
-    passes = F.lit(True)
-    for r, s in zip(rules, scores(rules)):
-        passes = passes & ~F.coalesce(s > F.col(f"_cut_{r}"), F.lit(False))
+    chosen = steps(good.where(~base_failed()).select(stratum(F.col("lang")).alias("stratum"), level().alias("level")), **how)
+    joined = seen.withColumn("_stratum", stratum(F.col("lang"))).join(F.broadcast(chosen), F.col("_stratum") == F.col("stratum"), "left")
+    passes = level() > F.coalesce(F.col("step"), F.lit(-1))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return joined.select(*[F.col(f"`{c}`") for c in keep], *names, base_failed().alias("base_failed"), (~base_failed() & passes).alias("kept"))
 
@@ -132,14 +134,11 @@ def holdout(labels: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents kept, with all their columns. Texts are measured twice rather than moved."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")
-    # The number keeps the optimizer from moving filters and the join below the measures, where it would repeat them for each condition and move texts.
-    number = F.monotonically_increasing_id()
-    good = measures(docs, "doc_id", "lang").withColumn("_nr", number).join(holdout(labels), "doc_id", "left_semi").where("_nr >= 0")
-    good = materialize(good.drop("_nr"), "holdout")
-    seen = measures(named, "_row", "lang").withColumn("_nr", number)
-    return judged(seen, good, "_row", "_nr", **how).where("kept and _nr >= 0").select("_row.*")
+    """The documents kept, with all their columns. Rows are written beside their measures, which are taken once."""
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "lang")
+    seen = materialize(measures(named, "_row", "doc_id", "lang"), "quality")
+    good = seen.drop("_row").join(holdout(labels), "doc_id", "left_semi")
+    return judged(seen, good, "_row", **how).where("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +149,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     words = f"regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+')"
-    grid = " UNION ALL ".join(f"SELECT '{r}' AS rule, unnest({GRIDS[r]!r}::DOUBLE[]) AS c" for r in RULES)
-    each = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, CASE WHEN {d} > 0 THEN CAST({n} AS DOUBLE) / {d} ELSE 0 END AS score FROM seen WHERE NOT base_failed" for r, (n, d) in RULES.items())
-    limit, level = RISK / len(RULES), CONFIDENCE / ((len(STRATA) + 1) * len(RULES))
+    first = ", ".join(f"floor(({a!r}::DOUBLE - CASE WHEN {d} > 0 THEN CAST({n} AS DOUBLE) / {d} ELSE 0 END) / {(a - b) / STEPS!r}::DOUBLE) + 1" for (n, d), (a, b) in zip(RULES.values(), PATH.values()))
     return f"""
 WITH w AS (SELECT doc_id, lang, {words} AS ws, coalesce(text, '') AS text,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS ls FROM documents),
@@ -165,16 +162,13 @@ m AS (SELECT w.doc_id, CASE WHEN lang IN {STRATA!r} THEN lang ELSE 'other' END A
     len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN r USING (doc_id)),
 seen AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM m),
-s AS ({each}),
-good AS (SELECT s.* FROM s WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-k AS (SELECT stratum, rule, c, count(*) AS n, count(*) FILTER (score > c) AS k FROM good JOIN ({grid}) USING (rule) GROUP BY ALL),
-t AS (SELECT stratum, rule, c, k <= n * {limit!r} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit!r}) + (n - i) * ln(1 - {limit!r})))
-    FROM (SELECT unnest(range(0, k + 1)) AS i)) <= {level!r} AS ok FROM k),
-f AS (SELECT stratum, rule, coalesce(max(c) FILTER (NOT ok), '-inf'::DOUBLE) AS bad FROM t GROUP BY ALL),
-cut AS (SELECT t.stratum, t.rule, min(c) AS cutoff FROM t JOIN f USING (stratum, rule) WHERE ok AND c > bad GROUP BY ALL),
-rejected AS (SELECT DISTINCT doc_id FROM s JOIN cut USING (stratum, rule) WHERE score > cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM seen
+s AS (SELECT *, greatest(0, least({STEPS + 1}, {first})) AS level FROM seen),
+good AS (SELECT stratum, level FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+k AS (SELECT stratum, step, count(*) AS n, count(*) FILTER (level <= step) AS k FROM good, (SELECT unnest(range(0, {STEPS + 1})) AS step) GROUP BY ALL),
+t AS (SELECT stratum, step, k <= n * {RISK!r} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK!r}) + (n - i) * ln(1 - {RISK!r})))
+    FROM (SELECT unnest(range(0, k + 1)) AS i)) <= {CONFIDENCE / (len(STRATA) + 1)!r} AS ok FROM k),
+f AS (SELECT stratum, coalesce(min(step) FILTER (NOT ok), {STEPS + 1}) - 1 AS step FROM t GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND level > coalesce(step, -1) AS kept FROM s LEFT JOIN f USING (stratum)
 """
 
 
