@@ -88,6 +88,37 @@ def test_jaccard(spark, bound, k, num):
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, brute_components(sets, num, 100)))}
 
 
+@pytest.mark.parametrize("bound", [6, 25])
+def test_wide_regions_are_split(spark, bound, monkeypatch):
+    """Regions of several groups of near copies, some chained: split by pivots, again, and block by block, against brute force."""
+    ways = Counter()
+    plain = jaccard._grouped
+
+    def counted(df, keys, then, work):
+        ways[tuple(keys)] += 1
+        return plain(df, keys, then, work)
+
+    monkeypatch.setattr(jaccard, "_grouped", counted)
+    r, texts = random.Random(17), []
+    for g in range(4):
+        base = prose(500 + g, 120, 3000)
+        texts += [" ".join(near(900 + 50 * g + i, base, r.choice([0.005, 0.01, 0.03]))) for i in range(22)]
+        for i in range(12):  # each a step farther from the first
+            base = base[:10 * i] + [f"y{g}-{i}-{j}" for j in range(2)] + base[10 * i + 2 :]
+            texts.append(" ".join(base))
+    sets = word_sets(texts, 4)
+    want = brute_components(sets, 85, 100)
+    star = spark.createDataFrame([(i, 7, len(s), t.encode()) for i, (s, t) in enumerate(zip(sets, texts))], "rep long, region long, n long, text binary")
+    links = {tuple(sorted(x)) for x in jaccard._wide(star, 4, 85, 100, bound, 10**9).collect() if x[0] != x[1]}
+    top = list(range(len(texts)))
+    for _ in range(len(texts)):
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    assert top == want and len(set(want)) > 4
+    assert all(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) or want[a] == want[b] for a, b in links)
+    assert sum(ways.values()) >= 1
+
+
 def test_jaccard_odd_rows(spark):
     d = docs(spark, ["a b c d e f g"] * 2)
     d = d.unionByName(d).unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")))

@@ -14,9 +14,11 @@ join starts with regions in which distances say something, and these are exact t
     pair above the threshold lies inside one. Equal sets collapse to their smallest doc_id.
  3. Join within a region (`join_region`): pivots are taken until each document lies within r of one; documents that fall to one pivot are linked
     through it, and pairs are compared across regions only inside the 2r window and where no pivot's triangle inequality rules them out.
- 4. Regions beyond BOUND documents or shingles are joined over several tasks: all documents are measured against PIVOTS pivots; those within r of the
-    pivot that has most of them are linked and settled; the others are compared, in blocks of at most BOUND, with each block of
-    the region. Blocks are joined as in 3.
+ 4. Regions beyond BOUND documents or shingles are split first (`_wide`), over many tasks: all documents of a region are measured against up to PIVOTS pivots
+    of it, no two of which are linked. Each document is native to the cell of its nearest pivot, linked with the pivots within r, and replicated as a
+    guest into each cell whose pivot is at most 2r farther than its own. Pairs are then sought within cells only, of natives with natives and guests;
+    natives within r of their pivot are one component and need no look at each other. A cell that fits a task is joined as in 3; a cell of at most half of its region is split again in the same way;
+    where pivots tell documents apart no more, its loose documents (natives beyond r, and guests) are packed into blocks and meet the blocks of its natives.
 
 Results are exact but for collisions of 64-bit shingle hashes.
 
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, U, WordHashes, grams, join_back, materialize, mix, slices, spread, table, tidy, unused
 from .components import components
 
-GROWTH, SLACK, BOUND, SHINGLES, PIVOTS = 1.5, 1.25, 1000, 2_000_000, 8
+GROWTH, SLACK, BOUND, SHINGLES, PIVOTS, LEVELS = 1.5, 1.25, 1000, 2_000_000, 8, 8
 NO_ROWS = np.empty(0, np.uint64)
 
 
@@ -251,17 +253,17 @@ def links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bound: int
     members = sized.join(region, "doc_id")
     same = members.groupBy("region", "f", "g").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     per = same.groupBy("region").agg(F.count(F.lit(1)).alias("reps"), F.sum("n").alias("all_n")).where("reps > 1")
-    reps = materialize(same.join(per, "region").select("rep", "region", "n", ((F.col("reps") > bound) | (F.col("all_n") > max_shingles)).alias("wide"), F.ceil(F.greatest(F.col("reps") / bound, F.col("all_n") / max_shingles)).cast("int").alias("blocks")), "jaccard-reps")
+    reps = materialize(same.join(per, "region").select("rep", "region", "n", ((F.col("reps") > bound) | (F.col("all_n") > max_shingles)).alias("wide")), "jaccard-reps")
     full = sized.where("n_shingles > 0")
     copies = join_back(full, full.groupBy("f", "g").agg(F.min("doc_id").alias("a")), "f", "g").select("a", F.col("doc_id").alias("b")).where("a < b")
-    texts = raw.join(reps, raw.doc_id == reps.rep).select("rep", "region", "wide", "blocks", "text")
+    texts = raw.join(reps, raw.doc_id == reps.rep).select("rep", "region", "n", "wide", "text")
 
     def whole(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         return _found([r[0] for r in rows], [r[2] for r in rows], k, num, den)
 
     out = copies.unionAll(_grouped(texts.where("not wide").select("rep", "region", "text"), ["region"], [], whole))
     if reps.where("wide").limit(1).count():
-        out = out.unionAll(_wide(texts.where("wide"), k, num, den))
+        out = out.unionAll(_wide(texts.where("wide").drop("wide"), k, num, den, bound, max_shingles))
     return sized, out
 
 
@@ -272,41 +274,88 @@ def _found(ids: list[int], texts: list[bytes], k: int, num: int, den: int) -> It
             yield ids[top], ids[i]
 
 
-def _wide(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links of regions that no single task may hold."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    held = materialize(texts.select("rep", "region", block.alias("block"), "text"), "jaccard-wide")
+def _measured_blocks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Distances `d` of every document of a block from the region's pivots, whether they are linked, `on`, and the pivots linked. Rows (region, block, nr, rep, n, text): pivots
+    have a number nr, documents of the block 0; pivots of a region come in one order to each of its blocks."""
+    kinds = "region long, rep long, n long, d array<float>, on array<boolean>, pivots array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (region, _), group in _regions(batches, ["region", "block"]):
+            pivots = [x for x in group if x[2]]
+            docs = [x for x in group if not x[2]]
+            if not docs:
+                continue
+            sets = Sets([shingles(x[5], k) for x in pivots + docs])
+            d, on = np.empty((len(docs), len(pivots)), np.float32), np.empty((len(docs), len(pivots)), bool)
+            for p in range(len(pivots)):
+                inter = sets.overlap(p)
+                union = sets.size + sets.size[p] - inter
+                d[:, p], on[:, p] = (1.0 - inter / union)[len(pivots) :], (den * inter >= num * union)[len(pivots) :]
+            linked = [[pivots[p][3] for p in np.flatnonzero(x)] for x in on]
+            cols = [pa.array([region] * len(docs), pa.int64()), pa.array([x[3] for x in docs], pa.int64()), pa.array([x[4] for x in docs], pa.int64()), pa.array(list(d), pa.list_(pa.float32())), pa.array(list(on), pa.list_(pa.bool_())), pa.array(linked, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["region", "rep", "n", "d", "on", "pivots"])
+        _hashes().clear()
+        tidy()
+
+    dealt = rows.select("region", "block", "nr", "rep", "n", "text").repartition(spread(rows), "region", "block").sortWithinPartitions("region", "block", F.desc("nr"))
+    return dealt.mapInArrow(run, kinds)
+
+
+def _wide(texts: DataFrame, k: int, num: int, den: int, bound: int, max_shingles: int, level: int = 0) -> DataFrame:
+    """Links of regions that no single task may hold. texts: rep, region, n (shingles), text."""
+    r = (den - num) / den + 1e-5  # more than the rounding of distances
+    blocks_of = lambda count, shingles: F.ceil(F.greatest(count / bound, shingles / max_shingles)).cast("int")
+    texts = materialize(texts, "jaccard-wide")
+    per = texts.groupBy("region").agg(F.count(F.lit(1)).alias("reps"), blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
+    held = join_back(texts, per, "region").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(level)), F.col("blocks")))
     # Pivots: the first of each of PIVOTS samples of a block, of which the first PIVOTS of a region.
-    some = held.groupBy("region", "block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("rep", F.lit(2)).alias("h"), "rep")).alias("p"))
-    chosen = some.select("region", "p.rep", F.row_number().over(Window.partitionBy("region").orderBy("p.h", "p.rep")).alias("nr")).where(F.col("nr") <= PIVOTS)
-    blocks = held.select("region", "block").distinct()
-    pivots = held.join(chosen, ["region", "rep"]).select("region", "rep", "text").join(blocks, "region")
-    rows = held.select("region", "block", F.lit(1).alias("kind"), "rep", "text").unionByName(pivots.withColumn("kind", F.lit(0)))
-
-    def measure(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        """(pivot, document) of a block for all within the threshold."""
-        n = sum(r[2] == 0 for r in rows)
-        sets = Sets([shingles(r[4], k) for r in rows])
-        for p in range(n):
-            inter = sets.overlap(p)
-            for i in np.flatnonzero(den * inter >= num * (sets.size + sets.size[p] - inter)):
-                if i >= n:
-                    yield rows[p][3], rows[int(i)][3]
-
-    near = materialize(_grouped(rows, ["region", "block"], ["kind"], measure), "jaccard-near")
-    counts = near.groupBy("a").count().join(chosen.select(F.col("rep").alias("a"), "region"), "a")
-    main = counts.groupBy("region").agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"))
-    settled = near.join(main, "a").select(F.col("b").alias("rep")).distinct()
-    loose = held.join(settled, "rep", "left_anti").select("region", F.col("block").alias("grid"), F.col("rep"), "text")
-    grids = loose.select("region", "grid").distinct()
-    # Every block that holds loose documents against every block of its region.
-    right = held.join(grids, "region").select("region", "grid", "block", "rep", "text")
-    left = loose.join(blocks, "region").where("grid <> block").select("region", "grid", "block", "rep", "text")
-
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        return _found([r[3] for r in rows], [r[4] for r in rows], k, num, den)
-
-    return near.unionAll(_grouped(right.unionByName(left), ["region", "grid", "block"], [], compare))
+    some = held.groupBy("region", "block", F.pmod(F.xxhash64("rep", F.lit(-1 - level)), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("rep", F.lit(2 + level)).alias("h"), "rep")).alias("p"))
+    chosen = some.select("region", "p.rep", F.row_number().over(Window.partitionBy("region").orderBy("p.h", "p.rep")).alias("place")).where(F.col("place") <= PIVOTS).withColumn("nr", PIVOTS + 1 - F.col("place"))
+    chosen = materialize(chosen.select("region", "rep", "nr", "place"), "jaccard-pivots")
+    pivots = texts.join(chosen, ["region", "rep"]).join(per, "region").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))))
+    rows = held.withColumn("nr", F.lit(0))
+    columns = ["region", "block", "nr", "rep", "n", "text"]
+    seen = materialize(_measured_blocks(rows.select(columns).unionByName(pivots.select(columns)), k, num, den), "jaccard-distances")
+    found = seen.select(F.explode("pivots").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    # A pivot that is linked with an earlier one would only cut a cell of near copies in two.
+    own = seen.join(chosen, ["region", "rep"]).where(~F.exists(F.slice("on", 1, F.col("place") - 1), lambda x: x))
+    kept = own.groupBy("region").agg(F.array_sort(F.collect_list(F.col("place").cast("int"))).alias("kept"))
+    near = join_back(seen.drop("pivots"), kept, "region")
+    home = F.array_min(F.transform("kept", lambda p: F.struct(F.element_at("d", p).alias("d"), p.alias("p"))))
+    near = near.withColumn("home", home)
+    guest = F.transform(F.filter("kept", lambda p: (p != F.col("home.p")) & (F.element_at("d", p) <= F.col("home.d") + 2 * r)), lambda p: F.struct(p.alias("cell"), F.lit(False).alias("native"), F.lit(True).alias("loose")))
+    native = F.array(F.struct(F.col("home.p").alias("cell"), F.lit(True).alias("native"), (~F.element_at("on", F.col("home.p"))).alias("loose")))
+    placed = materialize(near.select("region", "rep", "n", F.inline(F.concat(native, guest))), "jaccard-cells")
+    cells = placed.groupBy("region", "cell").agg(
+        F.count(F.lit(1)).alias("all"), F.sum("n").alias("all_n"), F.count_if("loose").alias("many"),
+        blocks_of(F.count_if("native"), F.sum(F.when(F.col("native"), F.col("n")).otherwise(0))).alias("natives"), blocks_of(F.count_if("loose"), F.sum(F.when(F.col("loose"), F.col("n")).otherwise(0))).alias("looses"),
+    ).where("many > 0")
+    small = (F.col("all") <= bound) & (F.col("all_n") <= max_shingles)
+    halved = (2 * F.col("all") <= F.col("reps")) & F.lit(level < LEVELS)
+    cells = materialize(cells.join(per.select("region", "reps"), "region").withColumn("way", F.when(small, "task").when(halved, "split").otherwise("blocks")).withColumn("cell", F.col("cell").cast("long")), "jaccard-ways")
+    ways = {x.way for x in cells.select("way").distinct().collect()}
+    with_text = texts.select("region", "rep", "text").join(join_back(placed.withColumn("cell", F.col("cell").cast("long")), cells, "region", "cell"), ["region", "rep"])
+    out = found
+
+    def whole(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        return _found([x[2] for x in rows], [x[3] for x in rows], k, num, den)
+
+    if "task" in ways:
+        out = out.unionAll(_grouped(with_text.where("way = 'task'").select("region", "cell", "rep", "text"), ["region", "cell"], [], whole))
+    if "blocks" in ways:
+        rows = with_text.where("way = 'blocks'")
+        left = rows.where("loose").withColumn("grid", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("looses"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("natives") - 1).cast("long"))))
+        right = rows.where("native").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("natives"))).withColumn("grid", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("looses") - 1).cast("long"))))
+        keys = ["region", "cell", "grid", "block"]
+
+        def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+            return _found([x[4] for x in rows], [x[5] for x in rows], k, num, den)
+
+        out = out.unionAll(_grouped(left.select(*keys, "rep", "text").unionByName(right.select(*keys, "rep", "text")), keys, [], compare))
+    if "split" in ways:
+        below = with_text.where("way = 'split'").select("rep", F.xxhash64("region", "cell", F.lit(level)).alias("region"), "n", "text")
+        out = out.unionAll(_wide(below, k, num, den, bound, max_shingles, level + 1))
+    return out
 
 
 def connected(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, **how) -> DataFrame:
