@@ -26,7 +26,7 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         # large star: a node's larger neighbours link to its smallest neighbour (or itself)
         both = state.union(state.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_back(both.where("v > u"), low, "u").where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        large = join_back(both.where("v > u"), low, "u").where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b"))
         # small star: a node and its smaller neighbours link to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = join_back(large, low, "b").select("m", F.explode(F.array("a", "b")).alias("v")).where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()

@@ -14,11 +14,12 @@ join starts with regions in which distances say something, and these are exact t
     pair above the threshold lies inside one. Equal sets collapse to their smallest doc_id.
  3. Join within a region (`join_region`): pivots are taken until each document lies within r of one; documents that fall to one pivot are linked
     through it, and pairs are compared across regions only inside the 2r window and where no pivot's triangle inequality rules them out.
- 4. Regions beyond BOUND documents or shingles are split first (`_wide`), over many tasks: all documents of a region are measured against up to PIVOTS pivots
-    of it, no two of which are linked. Each document is native to the cell of its nearest pivot, linked with the pivots within r, and replicated as a
-    guest into each cell whose pivot is at most 2r farther than its own. Pairs are then sought within cells only, of natives with natives and guests;
-    natives within r of their pivot are one component and need no look at each other. A cell that fits a task is joined as in 3; a cell of at most half of its region is split again in the same way;
-    where pivots tell documents apart no more, its loose documents (natives beyond r, and guests) are packed into blocks and meet the blocks of its natives.
+ 4. Regions beyond BOUND documents or shingles are split first, over many tasks. By size: sets of J >= t differ in size by a factor of at most 1/t, so a band
+    of sizes and the next one hold all pairs of its own. What is still beyond the bound is split by pivots (`_wide`): all documents are measured against up to PIVOTS
+    of them, no two of which are linked. Each document is native to the cell of its nearest pivot, linked with the pivots within r, and replicated as a
+    guest into each cell whose pivot is at most 2r farther than its own; pairs are then sought within cells only. A cell that fits a task is joined as in 3, a larger one
+    is split again in the same way. Where pivots don't tell documents apart (cells of more than half of a region, or more than twice its documents in all), those beyond r of the pivot that has most
+    within r are packed into blocks and meet the blocks of the region; what is within r of it is one component.
 
 Results are exact but for collisions of 64-bit shingle hashes.
 
@@ -256,11 +257,13 @@ def links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bound: int
     reps = materialize(same.join(per, "region").select("rep", "region", "n", ((F.col("reps") > bound) | (F.col("all_n") > max_shingles)).alias("wide")), "jaccard-reps")
     full = sized.where("n_shingles > 0")
     copies = join_back(full, full.groupBy("f", "g").agg(F.min("doc_id").alias("a")), "f", "g").select("a", F.col("doc_id").alias("b")).where("a < b")
-    texts = raw.join(reps, raw.doc_id == reps.rep).select("rep", "region", "n", "wide", "text")
 
     def whole(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         return _found([r[0] for r in rows], [r[2] for r in rows], k, num, den)
 
+    if reps.where("wide").limit(1).count():
+        reps = materialize(reps.where("not wide").unionByName(_bands(reps.where("wide"), num, den, bound, max_shingles)), "jaccard-parts")
+    texts = raw.join(reps, raw.doc_id == reps.rep).select("rep", "region", "n", "wide", "text")
     out = copies.unionAll(_grouped(texts.where("not wide").select("rep", "region", "text"), ["region"], [], whole))
     if reps.where("wide").limit(1).count():
         out = out.unionAll(_wide(texts.where("wide").drop("wide"), k, num, den, bound, max_shingles))
@@ -301,60 +304,73 @@ def _measured_blocks(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, kinds)
 
 
+def _bands(reps: DataFrame, num: int, den: int, bound: int, max_shingles: int) -> DataFrame:
+    """(rep, region, n, wide): the regions cut by size; a part holds a band of sizes and the next larger one."""
+    # The base exceeds den / num by more than logarithms are rounded.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.0001 * den / num)))
+    parts = reps.select("rep", "region", "n", F.inline(F.array(F.struct(band.alias("band"), F.lit(True).alias("native")), F.struct((band - 1).alias("band"), F.lit(False).alias("native")))))
+    per = parts.groupBy("region", "band").agg(F.count_if("native").alias("own"), F.count(F.lit(1)).alias("reps"), F.sum("n").alias("all_n")).where("own > 0 and reps > 1")
+    cut = join_back(parts, per.drop("own"), "region", "band")
+    return cut.select("rep", F.xxhash64("region", "band").alias("region"), "n", ((F.col("reps") > bound) | (F.col("all_n") > max_shingles)).alias("wide"))
+
+
 def _wide(texts: DataFrame, k: int, num: int, den: int, bound: int, max_shingles: int, level: int = 0) -> DataFrame:
     """Links of regions that no single task may hold. texts: rep, region, n (shingles), text."""
     r = (den - num) / den + 1e-5  # more than the rounding of distances
-    blocks_of = lambda count, shingles: F.ceil(F.greatest(count / bound, shingles / max_shingles)).cast("int")
-    texts = materialize(texts, "jaccard-wide")
+    blocks_of = lambda count, shingles: F.ceil(F.greatest(count / bound, shingles / max_shingles)).cast("long")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    texts = materialize(texts.select("rep", "region", "n", "text"), "jaccard-wide")
     per = texts.groupBy("region").agg(F.count(F.lit(1)).alias("reps"), blocks_of(F.count(F.lit(1)), F.sum("n")).alias("blocks"))
     held = join_back(texts, per, "region").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(level)), F.col("blocks")))
     # Pivots: the first of each of PIVOTS samples of a block, of which the first PIVOTS of a region.
-    some = held.groupBy("region", "block", F.pmod(F.xxhash64("rep", F.lit(-1 - level)), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("rep", F.lit(2 + level)).alias("h"), "rep")).alias("p"))
-    chosen = some.select("region", "p.rep", F.row_number().over(Window.partitionBy("region").orderBy("p.h", "p.rep")).alias("place")).where(F.col("place") <= PIVOTS).withColumn("nr", PIVOTS + 1 - F.col("place"))
-    chosen = materialize(chosen.select("region", "rep", "nr", "place"), "jaccard-pivots")
-    pivots = texts.join(chosen, ["region", "rep"]).join(per, "region").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))))
-    rows = held.withColumn("nr", F.lit(0))
+    some = held.groupBy("region", "blocks", "block", F.pmod(F.xxhash64("rep", F.lit(-1 - level)), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("rep", F.lit(2 + level)).alias("h"), "rep")).alias("p"))
+    chosen = some.select("region", "blocks", "p.rep", F.row_number().over(Window.partitionBy("region").orderBy("p.h", "p.rep")).alias("place")).where(F.col("place") <= PIVOTS)
+    chosen = materialize(chosen.withColumn("nr", PIVOTS + 1 - F.col("place")), "jaccard-pivots")
+    pivots = texts.join(chosen, ["region", "rep"]).withColumn("block", upto("blocks"))
     columns = ["region", "block", "nr", "rep", "n", "text"]
-    seen = materialize(_measured_blocks(rows.select(columns).unionByName(pivots.select(columns)), k, num, den), "jaccard-distances")
-    found = seen.select(F.explode("pivots").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    seen = materialize(_measured_blocks(held.withColumn("nr", F.lit(0)).select(columns).unionByName(pivots.select(columns)), k, num, den), "jaccard-distances")
+    out = seen.select(F.explode("pivots").alias("a"), F.col("rep").alias("b")).where("a <> b")
     # A pivot that is linked with an earlier one would only cut a cell of near copies in two.
     own = seen.join(chosen, ["region", "rep"]).where(~F.exists(F.slice("on", 1, F.col("place") - 1), lambda x: x))
     kept = own.groupBy("region").agg(F.array_sort(F.collect_list(F.col("place").cast("int"))).alias("kept"))
-    near = join_back(seen.drop("pivots"), kept, "region")
     home = F.array_min(F.transform("kept", lambda p: F.struct(F.element_at("d", p).alias("d"), p.alias("p"))))
-    near = near.withColumn("home", home)
-    guest = F.transform(F.filter("kept", lambda p: (p != F.col("home.p")) & (F.element_at("d", p) <= F.col("home.d") + 2 * r)), lambda p: F.struct(p.alias("cell"), F.lit(False).alias("native"), F.lit(True).alias("loose")))
-    native = F.array(F.struct(F.col("home.p").alias("cell"), F.lit(True).alias("native"), (~F.element_at("on", F.col("home.p"))).alias("loose")))
-    placed = materialize(near.select("region", "rep", "n", F.inline(F.concat(native, guest))), "jaccard-cells")
-    cells = placed.groupBy("region", "cell").agg(
-        F.count(F.lit(1)).alias("all"), F.sum("n").alias("all_n"), F.count_if("loose").alias("many"),
-        blocks_of(F.count_if("native"), F.sum(F.when(F.col("native"), F.col("n")).otherwise(0))).alias("natives"), blocks_of(F.count_if("loose"), F.sum(F.when(F.col("loose"), F.col("n")).otherwise(0))).alias("looses"),
-    ).where("many > 0")
-    small = (F.col("all") <= bound) & (F.col("all_n") <= max_shingles)
-    halved = (2 * F.col("all") <= F.col("reps")) & F.lit(level < LEVELS)
-    cells = materialize(cells.join(per.select("region", "reps"), "region").withColumn("way", F.when(small, "task").when(halved, "split").otherwise("blocks")).withColumn("cell", F.col("cell").cast("long")), "jaccard-ways")
-    ways = {x.way for x in cells.select("way").distinct().collect()}
-    with_text = texts.select("region", "rep", "text").join(join_back(placed.withColumn("cell", F.col("cell").cast("long")), cells, "region", "cell"), ["region", "rep"])
-    out = found
-
-    def whole(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        return _found([x[2] for x in rows], [x[3] for x in rows], k, num, den)
-
-    if "task" in ways:
-        out = out.unionAll(_grouped(with_text.where("way = 'task'").select("region", "cell", "rep", "text"), ["region", "cell"], [], whole))
-    if "blocks" in ways:
-        rows = with_text.where("way = 'blocks'")
-        left = rows.where("loose").withColumn("grid", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("looses"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("natives") - 1).cast("long"))))
-        right = rows.where("native").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("natives"))).withColumn("grid", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("looses") - 1).cast("long"))))
-        keys = ["region", "cell", "grid", "block"]
+    near = join_back(seen.drop("pivots"), kept, "region").withColumn("home", home)
+    guest = F.transform(F.filter("kept", lambda p: (p != F.col("home.p")) & (F.element_at("d", p) <= F.col("home.d") + 2 * r)), lambda p: F.struct(p.cast("long").alias("cell"), F.lit(True).alias("loose")))
+    native = F.array(F.struct(F.col("home.p").cast("long").alias("cell"), (~F.element_at("on", F.col("home.p"))).alias("loose")))
+    placed = near.select("region", "rep", "n", F.inline(F.concat(native, guest)))
+    cells = placed.groupBy("region", "cell").agg(F.count(F.lit(1)).alias("all"), F.sum("n").alias("all_n"), F.count_if("loose").alias("looses"))
+    cells = materialize(cells, "jaccard-cells")
+    split = (F.sum("all") <= 2 * F.first("reps")) & (2 * F.max("all") <= F.first("reps")) & F.lit(level < LEVELS)
+    regions = cells.join(chosen.select("region").distinct(), "region").join(per, "region").groupBy("region", "blocks").agg(split.alias("split"), F.max_by("cell", F.col("all") - F.col("looses")).alias("main"))
+    regions = materialize(regions, "jaccard-ways")
+
+    if regions.where("split").limit(1).count():
+        small = (F.col("all") <= bound) & (F.col("all_n") <= max_shingles)
+        parts = cells.join(regions.where("split").select("region"), "region").where("looses > 0").select("region", "cell", small.alias("small"))
+        rows = texts.select("region", "rep", "text").join(join_back(placed, parts, "region", "cell"), ["region", "rep"])
+        rows = rows.select("rep", F.xxhash64("region", "cell", F.lit(level)).alias("region"), "text", "n", "small")
+
+        def whole(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+            return _found([x[0] for x in rows], [x[2] for x in rows], k, num, den)
+
+        out = out.unionAll(_grouped(rows.where("small"), ["region"], [], whole))
+        if parts.where("not small").limit(1).count():
+            out = out.unionAll(_wide(rows.where("not small"), k, num, den, bound, max_shingles, level + 1))
+
+    if regions.where("not split").limit(1).count():
+        rows = join_back(seen.select("region", "rep", "n", "on"), regions.where("not split").drop("split"), "region").select("region", "blocks", "rep", "n", (~F.element_at("on", F.col("main").cast("int"))).alias("loose"))
+        grids = rows.where("loose").groupBy("region").agg(blocks_of(F.count(F.lit(1)), F.sum("n")).alias("grids"))
+        rows = texts.select("region", "rep", "text").join(join_back(rows, grids, "region"), ["region", "rep"])
+        left = rows.where("loose").withColumn("grid", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("grids"))).withColumn("block", upto("blocks"))
+        right = rows.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks"))).withColumn("grid", upto("grids"))
+        keys = ["region", "grid", "block"]
 
         def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-            return _found([x[4] for x in rows], [x[5] for x in rows], k, num, den)
+            # A loose document may be on both sides.
+            each = {x[3]: x[4] for x in rows}
+            return _found(list(each), list(each.values()), k, num, den)
 
         out = out.unionAll(_grouped(left.select(*keys, "rep", "text").unionByName(right.select(*keys, "rep", "text")), keys, [], compare))
-    if "split" in ways:
-        below = with_text.where("way = 'split'").select("rep", F.xxhash64("region", "cell", F.lit(level)).alias("region"), "n", "text")
-        out = out.unionAll(_wide(below, k, num, den, bound, max_shingles, level + 1))
     return out
 
 
