@@ -11,13 +11,14 @@ Sending every document through the automata of all of the corpus would be quadra
  3. The owners' runs of owned windows are the reference - each shared window once. A shard is about SHARD words of them, dealt by
     owner, so its automaton has a bounded size; other documents' runs go to the shard of their owner. A shard that many documents ask is
     sent to several tasks, its documents split among them, PROBES words each.
- 4. The automaton decides: what it matches over at least LENGTH words is removed. It compares words, not hashes.
+ 4. The automaton decides on what the window hashes name: only runs that its matching statistics find over at least LENGTH words, comparing words, are removed, so
+    a collision of window hashes removes nothing. Whole copies (step 1) are told by 128 bits of hashes and the number of words.
 
 Scale: texts are written once, bucketed by doc_id, and joined with anchors, windows and spans without being shuffled; only hashes move.
 Minima per hash are map-side combined and joined back (AQE splits such joins), so a passage in a third of all documents meets in no
 single task.
 
-Defined cases: a null or blank text has no words; documents of fewer than LENGTH words lose nothing; rows with equal doc_ids count as one document (no
+Defined cases: a null or blank text has no words; a very long text is hashed whole, and only its repeated passages go to automata; documents of fewer than LENGTH words lose nothing; rows with equal doc_ids count as one document (no
 window of theirs is judged by the other), and each row is returned; a null doc_id loses nothing; other columns are ignored by the query; empty table: empty
 result.
 """
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, grams, join_back, materialize, mix, spread, table
+from .common import WordHashes, grams, join_back, materialize, mix, shared_dir, spread, table
 
 LENGTH, GRAM, SHARD, PROBES = 50, 16, 100_000, 400_000
 
@@ -231,10 +232,15 @@ def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """doc_id and text (binary) of docs, as a table in buckets of doc_id: joins by doc_id then leave the texts where they are."""
-    name = f"urlmill_texts_{uuid.uuid4().hex}"
-    docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).write.bucketBy(spread(docs), "doc_id").saveAsTable(name, format="parquet")
-    return docs.sparkSession.table(name)
+    """doc_id and text (binary) of docs, in buckets of doc_id in the shared folder: joins by doc_id then leave the texts where they are. The catalog forgets the
+    table at once, as its plan knows files and buckets."""
+    spark, name = docs.sparkSession, f"urlmill_texts_{uuid.uuid4().hex}"
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    rows.write.bucketBy(spread(docs), "doc_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    out.schema  # resolved while the catalog has it
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
