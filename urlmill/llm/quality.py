@@ -10,7 +10,7 @@ pass the base rules rejected by all rules together. A stratum needs log(CONFIDEN
 
 All of it is Spark SQL expressions: no Python runs on executors, and nothing but the driver-side plan is built in Python. A text's
 measures need only that text, so documents are not shuffled; the steps chosen are at most 5 rows, broadcast.
-Labels join their documents by doc_id; only measures (a few numbers a row) move. `filter_documents` writes rows and measures once.
+Labels join their documents by doc_id; only measures (a few numbers a row) move.
 
 Defined cases: a null or blank text has zero words and measures, fails the base rule and is not kept; a text of any length is measured whole, in one row; a null
 lang is in the stratum "other"; labels with a null quality do not count, repeated ones count once, and each row of a repeated doc_id; no labels: only the base rule decides; repeated
@@ -134,11 +134,14 @@ def holdout(labels: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents kept, with all their columns. Rows are written beside their measures, which are taken once."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "lang")
-    seen = materialize(measures(named, "_row", "doc_id", "lang"), "quality")
-    good = seen.drop("_row").join(holdout(labels), "doc_id", "left_semi")
-    return judged(seen, good, "_row", **how).where("kept").select("_row.*")
+    """The documents kept, with all their columns. Texts are measured twice rather than written once more."""
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")
+    # The number keeps the optimizer from moving filters and the join below the measures, where it would repeat them for each condition and move texts.
+    number = F.monotonically_increasing_id()
+    good = measures(docs, "doc_id", "lang").withColumn("_nr", number).join(holdout(labels), "doc_id", "left_semi").where("_nr >= 0")
+    good = materialize(good.drop("_nr"), "holdout")
+    seen = measures(named, "_row", "lang").withColumn("_nr", number)
+    return judged(seen, good, "_row", "_nr", **how).where("kept and _nr >= 0").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
