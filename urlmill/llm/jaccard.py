@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, U, WordHashes, grams, join_back, materialize, mix, slices, spread, table, tidy, unused
 from .components import components
 
-GROWTH, SLACK, BOUND, SHINGLES, PIVOTS, LEVELS = 1.5, 1.25, 1000, 2_000_000, 8, 8
+GROWTH, SLACK, BOUND, SHINGLES, PIVOTS, LEVELS, FEW = 1.5, 1.25, 1000, 2_000_000, 8, 8, 200_000
 NO_ROWS = np.empty(0, np.uint64)
 
 
@@ -263,10 +263,12 @@ def links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bound: int
 
     if reps.where("wide").limit(1).count():
         reps = materialize(reps.where("not wide").unionByName(_bands(reps.where("wide"), num, den, bound, max_shingles)), "jaccard-parts")
-    texts = raw.join(reps, raw.doc_id == reps.rep).select("rep", "region", "n", "wide", "text")
-    out = copies.unionAll(_grouped(texts.where("not wide").select("rep", "region", "text"), ["region"], [], whole))
-    if reps.where("wide").limit(1).count():
-        out = out.unionAll(_wide(texts.where("wide").drop("wide"), k, num, den, bound, max_shingles))
+    tasks, split = (reps.where(x).select("rep", "region", "n") for x in ("not wide", "wide"))
+    with_text = lambda some: raw.join(some, raw.doc_id == F.col("rep")).select("rep", "region", "n", "text")
+    out = copies.unionAll(_grouped(with_text(tasks).select("rep", "region", "text"), ["region"], [], whole))
+    if many := split.count():
+        # A few numbers a row: up to FEW rows are sent to the texts, so that these are not shuffled a second time.
+        out = out.unionAll(_wide(with_text(F.broadcast(split) if many <= FEW else split), k, num, den, bound, max_shingles))
     return sized, out
 
 
