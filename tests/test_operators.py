@@ -131,7 +131,7 @@ def test_dedup(spark):
     assert [r.k for r in profile.label_conflicts(d, "k", "l").collect()] == ["a"]
 
 
-@pytest.mark.parametrize("labels,scores,target,fpr,recall", [([0, 0, 0, 0, 1, 1], [0.9, 0.8, 0.8, 0.1, 0.95, 0.85], 0.25, 0.25, 1.0), ([0, 0, 1, 1], [0.9, 0.2, 0.95, 0.85], 0.02, 0.0, 0.5), ([0, 1], [1.0, 1.0], 0.1, 0.0, 0.0)])
+@pytest.mark.parametrize("labels,scores,target,fpr,recall", [([0] * 5 + [1] * 3, [0.7, 0.6, 0.3, 0.2, 0.1, 0.9, 0.65, 0.4], target, fpr, recall) for target, fpr, recall in ((0.2, 0.2, 2 / 3), (0.39, 0.2, 2 / 3), (0.4, 0.4, 1.0), (0.0, 0.0, 1 / 3))] + [([0, 1], [0.5, 0.5], 0.4, 0.0, 0.0)])
 def test_threshold(spark, labels, scores, target, fpr, recall):
     r = evaluation.threshold_at_fpr(spark.createDataFrame(list(zip(labels, scores)), "label int, score double"), target).first()
     assert (r.fpr, r.recall) == (fpr, recall)

@@ -86,24 +86,23 @@ def signals(html):  # noqa: ANN001, ANN201
     return pd.DataFrame([(_read(h) or _Reader()).counts for h in html])
 
 
-@F.udtf(returnType=T.StructType().add("ordinal", T.IntegerType()).add("text", T.StringType()).add("xpath", T.StringType()))
-class TextNodes:
-    """Text nodes of a page with their paths, at most `most` of them (0: all)."""
-
-    def eval(self, html: str, most: int):  # noqa: ANN201
-        r = _read(html)
-        for i, (text, path) in enumerate(r.nodes if r else []):
-            if most and i >= most:
-                break
-            yield i, text, path
-
-
 def text_nodes(pages: DataFrame, most: int = 0) -> DataFrame:
-    """page_id, ordinal, text, xpath of every page's text nodes; parsing failures give no rows."""
-    spark = pages.sparkSession
-    spark.udtf.register("urlmill_text_nodes", TextNodes)
-    pages.createOrReplaceTempView("urlmill_pages")
-    return spark.sql(f"SELECT page_id, n.ordinal, n.text, n.xpath FROM urlmill_pages, LATERAL urlmill_text_nodes(html, {int(most)}) n")
+    """page_id, ordinal, text, xpath of every page's text nodes, at most `most` a page (0: all); parsing failures give no rows. Pages go through Python in Arrow batches."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        names, kinds = ["page_id", "ordinal", "text", "xpath"], [pa.int64(), pa.int32(), pa.string(), pa.string()]
+        for batch in batches:
+            rows = []
+            for page, html in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist()):
+                r = _read(html)
+                nodes = r.nodes if r else []
+                rows += [(page, i, text, path) for i, (text, path) in enumerate(nodes[:most] if most else nodes)]
+            for a in range(0, len(rows), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 50_000]), kinds)], names=names)
+
+    return pages.select("page_id", "html").mapInArrow(run, "page_id long, ordinal int, text string, xpath string")
 
 
 def logistic_score(features: dict[str, tuple[Column, float]], bias: float) -> Column:

@@ -56,11 +56,17 @@ SQL_FEED_BOTH = f"WITH {_FEED} SELECT e.scan_id, e.url, coalesce(e.s, ho.s) IS N
 
 def popular_hosts(spark, sf):
     listed = spark.createDataFrame([(d,) for d in POPULAR], "domain string")
-    p = table(spark, sf, "pages").select("page_id", urls.parse(F.col("url"))["host"].alias("host"))
+    own = urls.parse(F.col("url"))["host"]
+    # Every fifth page stands for a host of the fixed list, below www or another label, or for a look-alike.
+    some = F.element_at(F.array(*[F.lit(x) for x in rules.WELL_KNOWN]), (F.col("page_id") % len(rules.WELL_KNOWN) + 1).cast("int"))
+    host = F.when(F.col("page_id") % 15 == 0, F.concat(F.lit("www."), some)).when(F.col("page_id") % 15 == 5, F.concat(F.lit("not"), some)).when(F.col("page_id") % 15 == 10, F.concat(F.lit("a.b."), some)).otherwise(own)
+    p = table(spark, sf, "pages").select("page_id", host.alias("host"))
     return intel.with_reputation(p, listed).select("page_id", "is_popular", "is_well_known")
 
 
-SQL_POPULAR = f"WITH {parts_sql('pages', keep='page_id')} SELECT page_id, regexp_replace(host, '^www[.]', '') IN ({', '.join(map(quoted, POPULAR))}) AS is_popular, FALSE AS is_well_known FROM h"
+SQL_POPULAR = f"""WITH {parts_sql('pages', keep='page_id')} SELECT page_id, regexp_replace(host, '^www[.]', '') IN ({', '.join(map(quoted, POPULAR))}) AS is_popular,
+  list_contains(k, host) OR list_contains(k, array_to_string(string_split(host, '.')[-2:], '.')) AS is_well_known FROM (SELECT page_id, k, CASE page_id % 15 WHEN 0 THEN 'www.' || w WHEN 5 THEN 'not' || w WHEN 10 THEN 'a.b.' || w ELSE host END AS host
+  FROM (SELECT *, k[page_id % len(k) + 1] AS w FROM h, (SELECT [{', '.join(map(quoted, rules.WELL_KNOWN))}] AS k)))"""
 
 
 def allowlist_anti(spark, sf):
@@ -166,10 +172,22 @@ def group_split(spark, sf):
 def split_leakage_check(spark, sf):
     d = _rows(spark, sf).withColumn("group", corpus.host_group(F.col("host"), F.col("sha256")))
     train, val = corpus.split_groups(d, 20, "split", "group")
-    return corpus.leakage({"train": train, "validation": val}).select("split", "repeated", "classes", "shared_g", "shared_s")
+    # A third split that does share groups and hashes with the others.
+    mixed = d.where(F.substring("sha256", 1, 1).isin("0", "1", "2"))
+    return corpus.leakage({"train": train, "validation": val, "mixed": mixed}).select("split", "repeated", "classes", "shared_g", "shared_s")
 
 
-SQL_LEAKAGE = "SELECT * FROM (VALUES ('train', 0::BIGINT, 2::BIGINT, 0::BIGINT, 0::BIGINT), ('validation', 0::BIGINT, 2::BIGINT, 0::BIGINT, 0::BIGINT)) t(split, repeated, classes, shared_g, shared_s)"
+_SPLIT = f"""WITH RECURSIVE {_ROWS},
+d AS (SELECT sha256, label_id, CASE WHEN coalesce(regexp_replace(host, '[.]+$', ''), '') <> '' THEN 'host:' || regexp_replace(host, '[.]+$', '') ELSE 'hash:' || sha256 END AS g FROM r),
+c AS (SELECT g, count(*) FILTER (label_id = 0) AS n0, count(*) FILTER (label_id = 1) AS n1 FROM d GROUP BY g),
+o AS (SELECT *, row_number() OVER (ORDER BY sha256('split|' || g), g) AS i FROM c WHERE n0 <= 20 AND n1 <= 20),
+f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, NULL::VARCHAR AS g, FALSE AS fits UNION ALL
+  SELECT o.i, CASE WHEN a + n0 <= 20 AND b + n1 <= 20 THEN a + n0 ELSE a END, CASE WHEN a + n0 <= 20 AND b + n1 <= 20 THEN b + n1 ELSE b END, o.g, a + n0 <= 20 AND b + n1 <= 20 FROM f JOIN o ON o.i = f.i + 1),
+t AS (SELECT CASE WHEN g IN (SELECT g FROM f WHERE fits) THEN 'validation' ELSE 'train' END AS split, d.* FROM d)"""
+SQL_SPLIT = f"{_SPLIT} SELECT split, sha256 FROM t"
+SQL_LEAKAGE = f"""{_SPLIT}, m AS (SELECT 'mixed' AS split, * FROM d WHERE substr(sha256, 1, 1) IN ('0', '1', '2')), e AS (SELECT * FROM t UNION ALL SELECT * FROM m),
+x AS (SELECT g FROM e GROUP BY g HAVING count(DISTINCT split) > 1), y AS (SELECT sha256 FROM e GROUP BY sha256 HAVING count(DISTINCT split) > 1)
+SELECT split, count(*) - count(DISTINCT sha256) AS repeated, count(DISTINCT label_id) AS classes, count(DISTINCT g) FILTER (g IN (SELECT g FROM x)) AS shared_g, count(DISTINCT sha256) FILTER (sha256 IN (SELECT sha256 FROM y)) AS shared_s FROM e GROUP BY split"""
 
 
 def sampling_report(spark, sf):
@@ -181,5 +199,5 @@ SQL_SAMPLING = f"WITH {_ROWS} SELECT label_id, count(*) AS actual, 100::BIGINT A
 QUERIES = {f.__name__: f for f in (feed_exact, feed_host_prefix, feed_precedence, popular_hosts, allowlist_anti, html_clean_len, page_signals, page_signals_regex, page_text_nodes, policy_cascade, page_rows, coverage_select, group_split, split_leakage_check, sampling_report)}
 ORACLES = {
     "feed_exact": SQL_FEED_EXACT, "feed_host_prefix": SQL_FEED_HOST, "feed_precedence": SQL_FEED_BOTH, "popular_hosts": SQL_POPULAR, "allowlist_anti": SQL_ALLOWLIST, "html_clean_len": SQL_CLEAN, "page_signals": SQL_SIGNALS,
-    "page_signals_regex": SQL_SIGNALS, "policy_cascade": SQL_POLICY, "page_rows": SQL_PAGE_ROWS, "coverage_select": SQL_COVERAGE, "split_leakage_check": SQL_LEAKAGE, "sampling_report": SQL_SAMPLING,
+    "page_signals_regex": SQL_SIGNALS, "policy_cascade": SQL_POLICY, "page_rows": SQL_PAGE_ROWS, "coverage_select": SQL_COVERAGE, "group_split": SQL_SPLIT, "split_leakage_check": SQL_LEAKAGE, "sampling_report": SQL_SAMPLING,
 }

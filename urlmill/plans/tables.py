@@ -123,6 +123,15 @@ def rate_limit_fold(spark, sf):
     return state.rate_limit(e, 5, 864_000, "user_id", "at")
 
 
+SQL_RATE_LIMIT = """WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS t, event_type = 'purchase' AS good FROM events WHERE event_type IN ('error', 'purchase')),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, good) AS n FROM e),
+f AS (SELECT user_id, 0::BIGINT AS n, []::BIGINT[] AS w, 0::BIGINT AS refused, 0::BIGINT AS failures FROM o WHERE n = 1 UNION ALL
+  SELECT user_id, n, CASE WHEN len(r) >= 5 THEN r WHEN good THEN [] ELSE list_append(r, t) END, refused + CASE WHEN len(r) >= 5 THEN 1 ELSE 0 END, failures + CASE WHEN len(r) < 5 AND NOT good THEN 1 ELSE 0 END
+  FROM (SELECT f.user_id, o.n, o.t, o.good, f.refused, f.failures, list_filter(f.w, lambda x: o.t - x < 864000) AS r FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)),
+m AS (SELECT user_id, max(n) AS n FROM o GROUP BY 1)
+SELECT f.user_id, f.n AS attempts, f.refused, f.failures FROM f JOIN m USING (user_id, n)"""
+
+
 def progress_latest(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("scan_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("stage"), F.when(F.col("value") > 50, "complete").otherwise("running").alias("status"))
     return state.progress(e)
@@ -408,7 +417,7 @@ SQL_MANIFEST = "WITH a AS (SELECT DISTINCT sha256(text) AS s FROM documents WHER
 
 _ALL = {
     archive_fold: SQL_FOLD, prior_message: SQL_PRIOR, latest_scan: SQL_LATEST, report_queue: SQL_QUEUE, host_approvals: SQL_APPROVALS, ttl_cache_hits: _ttl_sql("86400", "<="), dual_ttl_cache: _ttl_sql("CASE WHEN event_type = 'error' THEN 864000 ELSE 90000 END", "<"),
-    failures_in_window: SQL_FAILURES, rate_limit_fold: None, progress_latest: SQL_PROGRESS, newest_entries: SQL_NEWEST, profile_missing: SQL_MISSING, profile_duplicates: SQL_DUPLICATES, label_conflicts: SQL_CONFLICTS, nearest_rank_quantiles: SQL_QUANTILES,
+    failures_in_window: SQL_FAILURES, rate_limit_fold: SQL_RATE_LIMIT, progress_latest: SQL_PROGRESS, newest_entries: SQL_NEWEST, profile_missing: SQL_MISSING, profile_duplicates: SQL_DUPLICATES, label_conflicts: SQL_CONFLICTS, nearest_rank_quantiles: SQL_QUANTILES,
     pearson_vector: SQL_PEARSON, pattern_by_class: SQL_PATTERN, top_k_per_class: SQL_TOPK, dedup_first: SQL_DEDUP_FIRST, dedup_last_no_conflict: SQL_DEDUP_LAST, length_histogram: SQL_HISTOGRAM, pivot_counts: SQL_PIVOT, describe_by: SQL_DESCRIBE, rolling_mean: SQL_ROLLING,
     balanced_sample: SQL_BALANCED, fold_assignment: SQL_FOLDS, seen_hash_anti: SQL_ANTI, confusion_at: SQL_CONFUSION, threshold_sweep: SQL_SWEEP, best_f1_threshold: SQL_BEST_F1, fpr_threshold: SQL_FPR, two_cutoffs: SQL_CUTOFFS, roc_auc: SQL_AUC,
     length_baseline_auc: SQL_LENGTH_AUC, avg_precision: SQL_AP, logloss_brier: SQL_LOSSES, f1_argmax: SQL_F1_CUT, slice_metrics: SQL_SLICES, calibration_bins: SQL_CALIBRATION, temperature_grid: SQL_TEMPERATURE, early_stop: SQL_EARLY, error_audit: SQL_ERRORS,
