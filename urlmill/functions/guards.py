@@ -150,3 +150,6 @@ def is_screenshot(blob: Column) -> Column:
     return F.startswith(blob, F.lit(b"\xff\xd8\xff")) & (F.octet_length(blob) <= 600_000)
 
 
+def status_ok(status: Column) -> Column:
+    """Whether an HTTP status is one of success; a missing one is not."""
+    return F.coalesce(status.between(200, 299), F.lit(False))

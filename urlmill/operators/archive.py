@@ -84,3 +84,9 @@ def review_queue(reports: DataFrame, sites: DataFrame, status: str = "new", limi
     if status in ("new", "approved", "rejected"):
         g = g.where(F.col("status") == status)
     return g.orderBy(F.desc("last_reported_at"), "url").limit(limit)
+
+
+def with_scan(reports: DataFrame, log: DataFrame) -> DataFrame:
+    """reports (scan_ref) with the verdict and score of the scan they were made on; nulls where it is not kept. Repeated refs: the newest scan."""
+    scan = log.groupBy(F.col("scan_ref").alias("_ref")).agg(F.max_by(F.struct("verdict", "score"), F.struct("scanned_at", "verdict")).alias("scan"))
+    return reports.join(scan, F.col("scan_ref") == F.col("_ref"), "left").drop("_ref")

@@ -85,3 +85,15 @@ def rolling_mean(df: DataFrame, value: str, order: str, width: int) -> DataFrame
     """Adds the mean of the last `width` rows, over however many there are."""
     w = Window.orderBy(order).rowsBetween(1 - width, 0)
     return df.withColumn("rolling", F.avg(value).over(w))
+
+
+def invalid_labels(df: DataFrame, label: str, valid: tuple[str, ...] = ("0", "1")) -> DataFrame:
+    """Rows per label value (trimmed text; null as '') that is not valid."""
+    value = F.trim(F.coalesce(F.col(label).cast("string"), F.lit("")))
+    return df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("rows")).where(~F.col("value").isin(*valid))
+
+
+def coverage_table(df: DataFrame, split: str, slices: dict[str, Column], least: int = 10) -> DataFrame:
+    """split, slice, rows, gap: how many rows of each split a slice has, and whether those are too few to judge by."""
+    counts = df.groupBy(F.col(split).alias("split")).agg(*[F.count_if(c).alias(n) for n, c in slices.items()])
+    return counts.select("split", F.inline(F.array(*[F.struct(F.lit(n).alias("slice"), F.col(n).alias("rows")) for n in slices]))).withColumn("gap", F.col("rows") < least)
