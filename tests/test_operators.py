@@ -205,3 +205,29 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, "a", 1, "running"), (1, "a", 2, "complete"), (1, "b", 3, "running")], "scan_id int, stage string, seq int, status string").write.parquet(str(tmp_path / "p"))
     src = spark.readStream.schema("scan_id int, stage string, seq int, status string").parquet(str(tmp_path / "p"))
     assert {(r.stage, r.status) for r in run_stream(spark, st.progress(src), "progress", "complete")} == {("a", "complete"), ("b", "running")}
+
+
+def test_places(spark):
+    """Places through buckets against plain sorting, for whole numbers, text, nulls and random orders."""
+    import hashlib
+
+    from urlmill.operators import ranks
+
+    r = random.Random(5)
+    rows = [(r.choice([None, r.randint(-(10**12), 10**12), r.randint(0, 70_000)]), f"{r.choice('abcé')}{i}") for i in range(300)]
+    d = spark.createDataFrame(rows, "k long, t string")
+    got = ranks.with_place(d, "n", ranks.key_bucket(d, "k"), F.col("k"), F.col("t")).collect()
+    want = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    assert [(x.k, x.t) for x in sorted(got, key=lambda x: x.n)] == want and sorted(x.n for x in got) == list(range(1, 301))
+    got = ranks.with_hash_place(d, "n", "s", "t").collect()
+    assert [x.t for x in sorted(got, key=lambda x: x.n)] == sorted((t for _, t in rows), key=lambda t: hashlib.sha256(f"s|{t}".encode()).hexdigest())
+
+
+def test_score_buckets_keep_order(spark):
+    from urlmill.operators import ranks
+
+    r = random.Random(6)
+    scores = sorted([0.0, 1.0, 5e-324, 1e308, -1e308] + [r.choice([r.random(), -r.random() * 10**6, 1 - r.random() * 1e-9, r.randint(-9, 9) / 10]) for _ in range(3000)])
+    d = spark.createDataFrame([(None,)] + [(s,) for s in scores] + [(float("nan"),)], "s double").select("s", ranks.score_bucket(F.col("s")).alias("b"))
+    got = [x.b for x in d.collect()]
+    assert got == sorted(got)

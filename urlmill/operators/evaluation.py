@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import score_bucket
+
 
 def _div(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     return F.when(b == 0, F.lit(empty).cast("double")).otherwise(a / b)
@@ -24,10 +26,14 @@ def with_rates(g: DataFrame) -> DataFrame:
 
 
 def by_score(df: DataFrame) -> DataFrame:
-    """score, p, n (its positives and negatives), tp, fp (at score >= it), all_p, all_n."""
+    """score, p, n (its positives and negatives), tp, fp (at score >= it), all_p, all_n. Sums run within buckets of scores and over the buckets' totals."""
     g = df.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    down, whole = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return g.select("score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"))
+    g = g.withColumn("_bucket", score_bucket(F.col("score")))
+    down, above, whole = Window.partitionBy("_bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    totals = g.groupBy("_bucket").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    sums = {"_tp": F.coalesce(F.sum("_p").over(above), F.lit(0)), "_fp": F.coalesce(F.sum("_n").over(above), F.lit(0)), "all_p": F.sum("_p").over(whole), "all_n": F.sum("_n").over(whole)}
+    inside = g.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)}).join(totals.select("_bucket", *[c.alias(k) for k, c in sums.items()]), "_bucket")
+    return inside.select("score", "p", "n", (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), "all_p", "all_n")
 
 
 def roc_auc(df: DataFrame) -> DataFrame:

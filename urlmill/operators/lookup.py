@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.features import features
 from ..functions.rules import probability_band
 from ..functions.urls import train_normalize
-from .corpus import hash_order
+from .ranks import key_bucket, with_hash_place, with_place
 
 
 def scan_by_id(log: DataFrame, ref: str, schema: str) -> DataFrame:
@@ -64,9 +64,8 @@ def best_checkpoint(runs: DataFrame) -> DataFrame:
 
 def shuffled_labels(df: DataFrame, seed: str, key: str, label: str) -> DataFrame:
     """A control: labels dealt to rows in another order. Rows meet by their ranks."""
-    by = Window.orderBy(hash_order(seed, F.col(key)), key)
-    a = df.withColumn("_n", F.row_number().over(Window.orderBy(key)))
-    b = df.select(F.row_number().over(by).alias("_n"), F.col(label).alias("shuffled"))
+    a = with_place(df, "_n", key_bucket(df, key), F.col(key))
+    b = with_hash_place(df.select(key, label), "_n", seed, key).select("_n", F.col(label).alias("shuffled"))
     return a.join(b, "_n").drop("_n")
 
 

@@ -6,11 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import hash_order
 from .evaluation import roc_auc
+from .ranks import key_bucket, with_hash_place, with_place
 
 
 def fit_logistic(df: DataFrame, columns: list[str], label: str = "label", reg: float = 0.01) -> PipelineModel:
@@ -29,7 +29,7 @@ def importance(model: PipelineModel, df: DataFrame, columns: list[str], key: str
     auc = lambda d: roc_auc(predict(model, d).select(F.col(label).alias("label"), "score")).first()["auc"]
     whole, out = auc(df), []
     for c in columns:
-        a = df.withColumn("_n", F.row_number().over(Window.orderBy(key))).drop(c)
-        b = df.select(F.row_number().over(Window.orderBy(hash_order(f"{seed}{c}", F.col(key)), key)).alias("_n"), c)
+        a = with_place(df, "_n", key_bucket(df, key), F.col(key)).drop(c)
+        b = with_hash_place(df.select(key, c), "_n", f"{seed}{c}", key).select("_n", c)
         out.append((c, whole - auc(a.join(b, "_n").drop("_n"))))
     return df.sparkSession.createDataFrame(out, "column string, loss double").orderBy(F.desc("loss"))
