@@ -11,6 +11,7 @@ from .urls import bad_port, is_ip_host, let, parse, port_of
 # Public suffixes of more than one label (a short list; pass the lines of a full one for more), and suffixes under which private parties offer names.
 SUFFIXES = "co.uk org.uk ac.uk gov.uk co.jp ne.jp or.jp co.kr co.in co.id co.nz co.za co.th com.au net.au org.au com.br com.mx com.sg com.my com.ph com.vn com.cn com.tr com.ar com.hk com.tw".split()
 PRIVATE = "github.io gitlab.io blogspot.com herokuapp.com netlify.app vercel.app pages.dev web.app firebaseapp.com workers.dev azurewebsites.net cloudfront.net s3.amazonaws.com".split()
+# Hosts that the client opens without asking.
 TRUSTED = (
     "google.com google.co.id google.co.uk google.ca google.com.au google.de google.fr google.es google.it google.nl google.pl google.co.jp google.co.kr google.com.sg google.com.my google.com.ph google.co.th google.com.vn google.com.br "
     "google.com.mx google.co.in bing.com duckduckgo.com search.yahoo.com ecosia.org startpage.com search.brave.com baidu.com yandex.com mail.google.com calendar.google.com meet.google.com outlook.office.com outlook.live.com "

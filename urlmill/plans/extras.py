@@ -8,7 +8,7 @@ from ..functions import display, domains, urls
 from ..operators import lookup
 from .common import parts_sql, quoted, table
 from .tables import _S, _scored
-from .urls import SOURCE, all_urls
+from .urls import SOURCE, SQL_TRAIN_REJECT, all_urls
 
 _HOSTS = ["login.example.co.uk", "someone.github.io", "8.8.8.8", "a.b.example.org", "co.uk", "example", "x.s3.amazonaws.com", "www.Example.COM.", ""]
 
@@ -66,6 +66,12 @@ def batch_scores(spark, sf):
     return lookup.score_batch(all_urls(spark, sf), model, 0.2, 0.3).select("page_id", "status", "prediction", F.coalesce("validation_error", F.lit("")).alias("validation_error"))
 
 
+SQL_BATCH = f"""{SQL_TRAIN_REJECT.rsplit("SELECT page_id", 1)[0].rstrip()},
+v AS (SELECT *, scheme || '://' || hh || CASE WHEN port_text = '' OR TRY_CAST(port_text AS INT) = 0 OR (scheme = 'http' AND TRY_CAST(port_text AS INT) = 80) OR (scheme = 'https' AND TRY_CAST(port_text AS INT) = 443) THEN '' ELSE ':' || CAST(port_text AS INT) END || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END AS v FROM e WHERE reason IS NULL),
+p AS (SELECT page_id, round(1 / (1 + exp(-(-2.0::DOUBLE + round(length(regexp_replace(v, '[^0-9]', '', 'g')) / length(v)::DOUBLE, 6) * 10.0::DOUBLE + CASE WHEN is_ip THEN 0 ELSE len(string_split(hh, '.')) END * 0.25::DOUBLE))), 6) AS p FROM v)
+SELECT e.page_id, CASE WHEN reason IS NULL THEN 'scored' ELSE 'invalid' END AS status, CASE WHEN p >= 0.3::DOUBLE THEN 'phishing' WHEN p >= 0.2::DOUBLE THEN 'review' WHEN p IS NOT NULL THEN 'not_flagged' END AS prediction, coalesce(reason, '') AS validation_error FROM e LEFT JOIN p USING (page_id)"""
+
+
 def decision_outcomes(spark, sf):
     d = _scored(spark, sf).select(F.col("doc_id").cast("string").alias("sha256"), F.col("label").alias("label_id"), "score", "doc_id")
     return lookup.decisions(d.where("doc_id % 7 <> 0"), d.where("doc_id % 7 = 0"), 0.5).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
@@ -99,7 +105,7 @@ def shuffle_control(spark, sf):
 SQL_CONTROL = "WITH a AS (SELECT quality, row_number() OVER (ORDER BY doc_id) AS n FROM labels), b AS (SELECT quality AS shuffled, row_number() OVER (ORDER BY sha256('ctl|' || doc_id), doc_id) AS n FROM labels) SELECT count(*) AS n, round(avg(CASE WHEN quality = shuffled THEN 1 ELSE 0 END), 6) AS agreement FROM a JOIN b USING (n)"
 
 _ALL = {
-    public_domains: SQL_DOMAINS, page_domains: SQL_PAGE_DOMAINS, client_lists: SQL_CLIENT, page_reasoning: SQL_REASONING, badges: SQL_BADGES, batch_scores: None, decision_outcomes: SQL_OUTCOMES, split_summary: SQL_SPLITS, group_sizes: SQL_GROUPS, shuffle_control: SQL_CONTROL,
+    public_domains: SQL_DOMAINS, page_domains: SQL_PAGE_DOMAINS, client_lists: SQL_CLIENT, page_reasoning: SQL_REASONING, badges: SQL_BADGES, batch_scores: SQL_BATCH, decision_outcomes: SQL_OUTCOMES, split_summary: SQL_SPLITS, group_sizes: SQL_GROUPS, shuffle_control: SQL_CONTROL,
 }
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: s for f, s in _ALL.items() if s}
