@@ -145,6 +145,11 @@ def request_in_bounds(url: Column, reason: Column | None = None) -> Column:
     return fine if reason is None else fine & (F.coalesce(F.length(reason), F.lit(0)) <= 1000)
 
 
+def ids_in_bounds(ids: Column) -> Column:
+    """Whether a batch names 1 to 200 ids, none of them null."""
+    return F.coalesce(F.size(ids).between(1, 200) & ~F.exists(ids, lambda i: i.isNull()), F.lit(False))
+
+
 def is_screenshot(blob: Column) -> Column:
     """JPEG magic bytes and at most 600,000 bytes."""
     return F.startswith(blob, F.lit(b"\xff\xd8\xff")) & (F.octet_length(blob) <= 600_000)

@@ -96,6 +96,12 @@ def sampling_report(df: DataFrame, target: int) -> DataFrame:
     return df.groupBy("label_id").agg(F.count(F.lit(1)).alias("actual"), F.lit(target).cast("long").alias("target"), F.countDistinct("host").alias("hosts"))
 
 
+def split_report(df: DataFrame, target: int, shard: str = "shard") -> DataFrame:
+    """Per split and label: rows, target, hosts, the shards they come from in order, and whether the rows fall short."""
+    g = df.groupBy("split", "label_id").agg(F.count(F.lit(1)).alias("actual"), F.countDistinct("host").alias("hosts"), F.sort_array(F.collect_set(shard)).alias("shards"))
+    return g.withColumn("target", F.lit(target).cast("long")).withColumn("short", F.col("actual") < target)
+
+
 def manifest_difference(a: DataFrame, b: DataFrame, key: str = "sha256") -> DataFrame:
     """Rows only in a, only in b, in both."""
     x, y = a.select(key).distinct().withColumn("_a", F.lit(1)), b.select(key).distinct().withColumn("_b", F.lit(1))

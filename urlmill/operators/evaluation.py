@@ -78,6 +78,26 @@ def threshold_at_fpr(df: DataFrame, target: float) -> DataFrame:
     return best.select("b.score", "b.above", "b.recall", (-F.col("b.nf") + F.lit(0.0)).alias("fpr"), "b.tp", "b.fp")
 
 
+def threshold_on_curve(df: DataFrame, target: float, fallback: float = 1.0) -> DataFrame:
+    """The cut on a score that catches most within a rate of false positives, the highest of equals; `fallback` where no score keeps to it or a class is empty."""
+    fits = (F.col("fp") <= target * F.col("all_n")) & (F.col("all_n") > 0) & (F.col("all_p") > 0)
+    best = by_score(df).where(fits).agg(F.max(F.struct("tp", "score")).alias("b"))
+    return best.select(F.coalesce("b.score", F.lit(float(fallback))).alias("threshold"), F.col("b").isNull().alias("fell_back"))
+
+
+def balanced_accuracy(df: DataFrame, threshold: Column | float, *by: str) -> DataFrame:
+    """Mean of the two classes' recalls per group; an empty class counts as 0."""
+    g = confusion(df, threshold, *by)
+    return g.select(*by, ((F.col("recall") + _div(F.col("tn").cast("double"), F.col("tn") + F.col("fp"))) / 2).alias("balanced_accuracy"))
+
+
+def control_gap(histories: DataFrame, least: float = 0.15) -> DataFrame:
+    """Best F1 with true and with shuffled labels, their difference, and whether it shows a signal. Rows: shuffled, epoch, f1."""
+    best = histories.agg(F.max(F.when(~F.col("shuffled"), F.col("f1"))).alias("real_best"), F.max(F.when(F.col("shuffled"), F.col("f1"))).alias("control_best"))
+    gap = best.withColumn("gap", F.col("real_best") - F.col("control_best"))
+    return gap.withColumn("valid", F.coalesce(F.col("gap") > least, F.lit(False)))
+
+
 def two_cutoffs(df: DataFrame, max_fpr: float, min_recall: float) -> DataFrame:
     """block_from (most caught within max_fpr) and warn_from (fewest flagged at min_recall); warn falls to block if it lies above it."""
     s = by_score(df).select("score", (F.col("tp") / F.col("all_p")).alias("caught"), (F.col("fp") / F.col("all_n")).alias("flagged"))

@@ -40,6 +40,28 @@ def cache_as_of(lookups: DataFrame, entries: DataFrame, key: str = "key") -> Dat
     return j.groupBy("_id", key, "at").agg(F.max_by("payload", "fetched_at").alias("payload")).drop("_id")
 
 
+def cache_two_level(lookups: DataFrame, shared: DataFrame, local: DataFrame, key: str = "key") -> DataFrame:
+    """lookups with `payload` and `level`: what the shared store holds then, else the local one, else null. Both as in cache_as_of."""
+    asked = lookups.select(key, "at").distinct()
+    a = cache_as_of(asked, shared, key).withColumnRenamed("payload", "_shared")
+    b = cache_as_of(asked, local, key).withColumnRenamed("payload", "_local")
+    level = F.when(F.col("_shared").isNotNull(), "shared").when(F.col("_local").isNotNull(), "local")
+    found = a.join(b, [key, "at"]).select(key, "at", F.coalesce("_shared", "_local").alias("payload"), level.alias("level"))
+    return lookups.join(found, [key, "at"])
+
+
+def written_through(entries: DataFrame, shared_enabled: Column, shared_ttl: int, local_ttl: int) -> tuple[DataFrame, DataFrame]:
+    """(shared, local): entries (key, fetched_at, payload) as each store keeps them; the shared one only where it is enabled."""
+    until = lambda ttl: F.col("fetched_at") + ttl
+    return entries.where(shared_enabled).withColumn("expires_at", until(shared_ttl)), entries.withColumn("expires_at", until(local_ttl))
+
+
+def alive(entries: DataFrame, at: int) -> DataFrame:
+    """entries, alive: how many a store holds and how many of them are valid at a time."""
+    valid = (F.col("fetched_at") <= at) & (F.lit(at) < F.col("expires_at"))
+    return entries.agg(F.count(F.lit(1)).alias("entries"), F.count_if(valid).alias("alive"))
+
+
 def failures_in_window(df: DataFrame, seconds: int, key: str, at: str) -> DataFrame:
     """Adds how many rows of the key lie within the last `seconds`, this one included."""
     w = Window.partitionBy(key).orderBy(F.col(at).cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
@@ -94,6 +116,46 @@ def training_state(log: DataFrame) -> DataFrame:
     return g.withColumn("done", F.when(F.col("total") > 0, F.col("step") / F.col("total")))
 
 
+def remaining(state: DataFrame, epochs: str = "epochs", minutes: str = "epoch_minutes") -> DataFrame:
+    """Adds eta_minutes to rows (epoch, step, total, finished and the two named): what is left at the pace of the running epoch; null if unknown or finished.
+
+    The epochs before this one are done; step counts within it.
+    """
+    pace = F.col("step") / F.nullif(F.col(minutes), F.lit(0.0))
+    left = (F.col(epochs) - F.col("epoch")) * F.col("total") - F.col("step")
+    known = ~F.col("finished") & (F.col("step") > 0) & (F.col("total") > 0)
+    return state.withColumn("eta_minutes", F.when(known, left / pace))
+
+
+def epoch_scores(log: DataFrame) -> DataFrame:
+    """(run, f1): the scores a log (run, line_no, line) names, in the order of its lines."""
+    d = log.select("run", "line_no", F.nullif(F.regexp_extract("line", r"(?i)\bf1[=: ]+([0-9]*\.?[0-9]+)", 1), F.lit("")).cast("double").alias("f1")).where("f1 is not null")
+    return d.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "f1"))), lambda x: x.f1).alias("f1"))
+
+
+def bounded_cache(df: DataFrame, ttl: int = 21_600, size: int = 200, client: str = "client") -> DataFrame:
+    """client, lookups, hits, held of caches that hold at most `size` hosts. Rows: client, host, at (seconds), kind ('lookup' or 'result'), keep.
+
+    As host_cache per host; a result that makes the cache too large removes the entries written first (of equals, the smallest host), an expired entry that is looked up is removed.
+    """
+    d = _ordered(df, client, "at", "kind", "host", "keep")
+    entry = "array<struct<w: double, host: string>>"
+    start = F.struct(F.array().cast(entry).alias("e"), F.lit(0).cast("long").alias("hits"))
+
+    def step(s: Column, x: Column) -> Column:
+        t, ask = x.at.cast("double"), x.kind == "lookup"
+        alive_ = F.exists(s.e, lambda o: (o.host == x.host) & (t - o.w < ttl))
+        others = F.filter(s.e, lambda o: o.host != x.host)
+        grown = F.array_sort(F.concat(others, F.array(F.struct(t.alias("w"), x.host.alias("host"))))).cast(entry)
+        kept = F.slice(grown, F.greatest(F.size(grown) - size, F.lit(0)) + 1, size)
+        e = F.when(ask & alive_, s.e).when(ask, others).when(x.keep, kept).otherwise(others)
+        return F.struct(e.cast(entry).alias("e"), (s.hits + (ask & alive_).cast("long")).alias("hits"))
+
+    out = F.aggregate("rows", start, step)
+    asked = F.size(F.filter("rows", lambda x: x.kind == "lookup")).cast("long")
+    return d.select(client, asked.alias("lookups"), out.alias("o")).select(client, "lookups", F.col("o.hits").alias("hits"), F.size("o.e").cast("long").alias("held"))
+
+
 def host_cache(df: DataFrame, ttl: int = 21_600, key: str = "host") -> DataFrame:
     """key, lookups, hits of a client cache. Rows: key, at (seconds), kind ('lookup' or 'result'), keep (whether a result may be kept).
 

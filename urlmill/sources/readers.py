@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+import time
+import uuid
 import zipfile
-from pathlib import Path
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,47 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    """The file system of a path, and a maker of its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def write_csv_file(df: DataFrame, path: str, columns: list[str], tries: int = 3) -> None:
+    """One CSV file: one task writes it to a folder beside, which is renamed into place; a refused rename is tried again. For tables that one task can write."""
+    fs, make = _files(df.sparkSession, path)
+    beside = f"{path}.part-{uuid.uuid4().hex}"
+    try:
+        df.select(*columns).coalesce(1).write.option("header", True).option("lineSep", "\n").csv(beside)
+        part = next(s.getPath() for s in fs.listStatus(make(beside)) if s.getPath().getName().startswith("part-"))
+        for left in range(tries - 1, -1, -1):
+            fs.delete(make(path), False)
+            if fs.rename(part, make(path)):
+                return
+            if not left:
+                raise OSError(f"could not rename to {path}")
+            time.sleep(0.2)
+    finally:
+        fs.delete(make(beside), True)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls kept, in as many files as df has partitions."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_manifest(splits: dict[str, DataFrame], path: str, *columns: str) -> None:
+    """The identities of all splits as JSON lines: split and the given columns."""
+    rows = [d.select(F.lit(n).alias("split"), *columns) for n, d in splits.items()]
+    write_json_lines(reduce(DataFrame.unionByName, rows), path)
+
+
+def sample_shards(spark: SparkSession, paths: list[str], wanted: int, key: str, label: str, per_class: int, seed: str, columns: list[str]) -> DataFrame:
+    """A balanced sample of evenly spaced shards in two scans: labels and keys alone choose, and only then are the chosen rows read in full."""
+    chosen = sample(read_shards(spark, paths, wanted, [key, label]), per_class, seed, key, label).select(key)
+    return read_shards(spark, paths, wanted, columns).join(chosen, key, "left_semi")
+
+
 def read_shards(spark: SparkSession, paths: list[str], wanted: int, columns: list[str]) -> DataFrame:
     """Evenly spaced Parquet shards, read with the given columns only."""
     return spark.read.parquet(*[sorted(paths)[i] for i in shard_indices(len(paths), wanted)]).select(*columns)
@@ -79,13 +122,17 @@ def read_popular(spark: SparkSession, data: bytes | str, top: int, least: int =
     return out
 
 
-def cached_sample(spark: SparkSession, folder: str, config: dict, build) -> DataFrame:  # noqa: ANN001
-    """The stored sample if it was made with the same config, else a new one. folder is a local path or one under /dbfs-like mounts."""
-    note = Path(folder) / "config.json"
-    if note.exists() and json.loads(note.read_text()) == config and (Path(folder) / "rows" / "_SUCCESS").exists():
+def cached_sample(spark: SparkSession, folder: str, config: dict, build, needed: tuple[str, ...] = ()) -> DataFrame:  # noqa: ANN001
+    """The stored sample if it was made with the same config and all needed files of the folder exist, else a new one. folder: any path that Spark can write to."""
+    fs, make = _files(spark, folder)
+    note = f"{folder}/config"
+    made = all(fs.exists(make(f"{folder}/{f}")) for f in ("rows/_SUCCESS", "config/_SUCCESS", *needed))
+    if made and [json.loads(r.value) for r in spark.read.text(note).collect()] == [config]:
         return spark.read.parquet(f"{folder}/rows")
+    # The note goes first and comes last, so that a broken run leaves none.
+    fs.delete(make(note), True)
     build().write.mode("overwrite").parquet(f"{folder}/rows")
-    note.write_text(json.dumps(config))
+    spark.createDataFrame([(json.dumps(config),)], "value string").coalesce(1).write.text(note)
     return spark.read.parquet(f"{folder}/rows")
 
 
