@@ -148,6 +148,32 @@ def test_signatures_and_regions():
                     assert sig[i] & sig[j]
 
 
+def test_contracted_links(spark, monkeypatch):
+    """Stars of tasks have the components and nodes of the links, however few links a task holds at a time."""
+    from urlmill.llm import components as c
+
+    r = random.Random(8)
+    links = [(r.randint(-40, 60), r.randint(-40, 60)) for _ in range(60)] + [(500, 500), (-(2**62), 2**62)] + [(x, x + 1) for x in range(1000, 1400)]
+    parent = {x: x for e in links for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        lo, hi = sorted((top(a), top(b)))
+        parent[hi] = lo
+    want = {x: top(x) for x in parent}
+    a, b = c.forest(*np.array(links).T)
+    assert dict(zip(b.tolist(), a.tolist())) == {n: t for n, t in want.items() if n != t or n == 500}
+    for held in (1, 7, 500_000):
+        monkeypatch.setattr(c, "HELD", held)
+        d = spark.createDataFrame(links, "a long, b long").repartition(3)
+        assert {x for row in c.contracted(d).collect() for x in row} == set(parent)
+        assert {x.node: x.component for x in components(d).collect()} == want
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(7, None), (70, 70)]

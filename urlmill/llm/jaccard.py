@@ -249,7 +249,7 @@ def links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bound: int
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     sized = materialize(measured(raw, k), "jaccard")
     low = F.min("doc").over(Window.partitionBy("sig"))
-    stars = signed(raw, k, num, den).withColumn("low", low).where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
+    stars = signed(raw, k, num, den).withColumn("low", low).where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b"))
     region = components(stars, "jaccard-stars").toDF("doc_id", "region")
     members = sized.join(region, "doc_id")
     same = members.groupBy("region", "f", "g").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
