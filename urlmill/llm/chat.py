@@ -6,7 +6,7 @@ What is left is rendered in chat markup.
 
 The rolling hash is the exclusive-or of two 64-bit hashes of (place, role, text) over the turns so far, so it splits into chunks: places and
 hashes are computed within chunks of CHUNK turn numbers and shifted by what earlier chunks hold. A conversation with a
-large share of all turns therefore fills many tasks until its one text is put together. Both sides of the anti-join are aggregated to distinct hashes
+large share of all turns therefore fills many tasks until its one text is put together, which takes the memory of that text in one task. Both sides of the anti-join are aggregated to distinct hashes
 first (map-side), so a first turn that many conversations share is one row a task.
 
 Defined cases: turns are in the order of turn (null first), role, text, and so are repeated rows, which count each; a null role renders
@@ -25,24 +25,35 @@ CHUNK = 4096
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def places(turns: DataFrame, *ties: str) -> DataFrame:
+    """turns with `place`, from 1, within each conv_id: by turn, then ties, null first. Sorted within CHUNK turn numbers, and shifted by what earlier chunks hold."""
+    rows = turns.withColumn("_chunk", F.floor(F.col("turn") / CHUNK))
+    inside = Window.partitionBy("conv_id", "_chunk").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", *ties)])
+    return _after(rows.withColumn("place", F.row_number().over(inside)), rows.groupBy("conv_id", "_chunk").agg(F.count(F.lit(1)).alias("place")), F.sum, lambda a, b: a + b)
+
+
+def rolled(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, place, x1, x2 and others) with x1 and x2 as the exclusive-or of all up to this place; by chunks too."""
+    rows = turns.withColumn("_chunk", F.floor((F.col("place") - 1) / CHUNK))
+    run = Window.partitionBy("conv_id", "_chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy("conv_id", "_chunk").agg(F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+    return _after(rows.withColumns({x: F.bit_xor(x).over(run) for x in ("x1", "x2")}), sums, F.bit_xor, lambda a, b: a.bitwiseXOR(b))
+
+
+def _after(rows: DataFrame, per: DataFrame, fold, add) -> DataFrame:
+    """The values of rows with those of earlier chunks of the conversation added; per: the values of each chunk."""
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("_chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    names = [c for c in per.columns if c not in ("conv_id", "_chunk")]
+    before = per.select(F.col("conv_id").alias("_c"), F.col("_chunk").alias("_k"), *[F.coalesce(fold(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in names])
+    both = rows.join(before, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_chunk").eqNullSafe(F.col("_k")))
+    return both.withColumns({c: add(F.col(c), F.col(f"_{c}")) for c in names}).drop("_c", "_k", "_chunk", *[f"_{c}" for c in names])
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, place (from 1), h1, h2 of every turn: hashes of the conversation up to it."""
-    rows = turns.select("conv_id", "turn", "role", F.floor(F.col("turn") / CHUNK).alias("chunk"), F.xxhash64("text", F.col("text").isNull()).alias("t1"), F.xxhash64(F.lit("b"), "text", F.col("text").isNull()).alias("t2"))
-    inside = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "t1", "t2")
-    rows = rows.withColumn("place", F.row_number().over(inside))
-    by = Window.partitionBy("conv_id").orderBy(F.col("chunk").asc_nulls_first())
-    earlier = by.rowsBetween(Window.unboundedPreceding, -1)
-    shift = rows.groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("n")).select(F.col("conv_id").alias("_c"), F.col("chunk").alias("_k"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
-    same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("chunk").eqNullSafe(F.col("_k"))
-    placed = rows.join(shift, same).drop("_c", "_k").withColumn("place", F.col("place") + F.col("shift"))
-    of = lambda t: F.xxhash64("place", "role", F.col("role").isNull(), t)
-    hashed = placed.select("conv_id", "chunk", "place", of("t1").alias("x1"), of("t2").alias("x2"))
-    run = Window.partitionBy("conv_id", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = hashed.select("conv_id", "chunk", "place", F.bit_xor("x1").over(run).alias("x1"), F.bit_xor("x2").over(run).alias("x2"))
-    before = hashed.groupBy("conv_id", "chunk").agg(F.bit_xor("x1").alias("b1"), F.bit_xor("x2").alias("b2"))
-    zero = lambda c: F.coalesce(F.bit_xor(c).over(earlier), F.lit(0))
-    before = before.select(F.col("conv_id").alias("_c"), F.col("chunk").alias("_k"), zero("b1").alias("b1"), zero("b2").alias("b2"))
-    return rolled.join(before, same).select("conv_id", "place", F.col("x1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("x2").bitwiseXOR(F.col("b2")).alias("h2"))
+    placed = places(turns.select("conv_id", "turn", "role", "text"), "role", "text")
+    of = lambda seed: F.xxhash64(*seed, "place", "role", F.col("role").isNull(), "text", F.col("text").isNull())
+    return rolled(placed.select("conv_id", "place", of([]).alias("x1"), of([F.lit("b")]).alias("x2"))).select("conv_id", "place", F.col("x1").alias("h1"), F.col("x2").alias("h2"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:

@@ -251,6 +251,12 @@ def links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bound: int
     low = F.min("doc").over(Window.partitionBy("sig"))
     stars = signed(raw, k, num, den).withColumn("low", low).where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b"))
     region = components(stars, "jaccard-stars").toDF("doc_id", "region")
+    return sized, inside(raw, sized, region, k, num, den, bound, max_shingles)
+
+
+def inside(raw: DataFrame, sized: DataFrame, region: DataFrame, k: int, num: int, den: int, bound: int = BOUND, max_shingles: int = SHINGLES) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs with Jaccard >= num/den, where each pair of different sets lies in one region. raw: doc_id, text;
+    sized: doc_id, n_shingles, f, g; region: doc_id, region."""
     members = sized.join(region, "doc_id")
     same = members.groupBy("region", "f", "g").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     per = same.groupBy("region").agg(F.count(F.lit(1)).alias("reps"), F.sum("n").alias("all_n")).where("reps > 1")
@@ -269,7 +275,7 @@ def links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bound: int
     if many := split.count():
         # A few numbers a row: up to FEW rows are sent to the texts, so that these are not shuffled a second time.
         out = out.unionAll(_wide(with_text(F.broadcast(split) if many <= FEW else split), k, num, den, bound, max_shingles))
-    return sized, out
+    return out
 
 
 def _found(ids: list[int], texts: list[bytes], k: int, num: int, den: int) -> Iterator[tuple[int, int]]:

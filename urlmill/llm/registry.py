@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html, jaccard, mixing, pieces, pii, quality, substrings, token_files, topk
+from . import chat, divergence, html, jaccard, minhash, mixing, pieces, pii, quality, substrings, token_files, topk, trie
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mix_sources": mixing.query,
     "op9_exact_topk": topk.query,
     "op10_substring_dedup": substrings.query,
+    "op11_source_divergence": divergence.query,
+    "op12_prefix_trie": trie.query,
+    "op13_minhash_dedup": minhash.query,
 }
 ORACLES = {
     "op1_ngram_jaccard": jaccard.SQL,
@@ -23,4 +26,7 @@ ORACLES = {
     "op8_mix_sources": mixing.SQL,
     "op9_exact_topk": topk.SQL,
     "op10_substring_dedup": substrings.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_prefix_trie": trie.SQL,
+    "op13_minhash_dedup": minhash.SQL,
 }
