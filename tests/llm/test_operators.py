@@ -244,6 +244,10 @@ def test_chat(spark):
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(1)).withColumn("chunk", F.lit("c"))
     got = {x.conv_id: (x.n_turns, x.copies) for x in chat.render(d).collect()}
     assert got == brute_chat(rows)
+    # Several texts in one place: the order of texts counts, whatever their hashes.
+    ties = [(k, 1, "user", t) for i in range(15) for k, t in ((2 * i, f"q{i}"), (2 * i + 1, f"p{i}"), (2 * i + 1, f"q{i}"))] + [(100 + i, 1, "user", f"p{i}") for i in range(15)]
+    kept = chat.render(spark.createDataFrame(ties, "conv_id long, turn long, role string, text string"))
+    assert {x.conv_id: (x.n_turns, x.copies) for x in kept.collect()} == brute_chat(ties)
     one = chat.render(spark.createDataFrame([(1, 1, None, "a<|im_end|>b"), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")).first().text
     assert one == "<|im_start|>unknown\na<im_end>b<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
 
@@ -841,6 +845,16 @@ def test_substrings_repeated_ids(spark):
     assert got == [(-1, 0), (5, 0), (5, 0), (9, 80)]
 
 
+@pytest.mark.parametrize("length,gram", [(50, 16), (6, 3)])
+def test_substrings_rows_of_one_id_differ(spark, length, gram):
+    """Rows with one doc_id, of which some repeat what smaller ones hold: each is judged by its own text."""
+    a, b, c = (prose(i, 60) for i in (1, 2, 3))
+    texts = [(1, a), (2, a), (2, b), (3, ["z0", *a]), (3, b), (3, c), (4, c + a[:55]), (4, b[5:] + c[:51]), (4, c)]
+    rows = [(i, " ".join(w)) for i, w in texts]
+    got = sorted(map(tuple, substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), length, gram).collect()))
+    assert got == brute_removed(rows, length)
+
+
 def test_automaton():
     r = random.Random(1)
     for _ in range(100):

@@ -14,12 +14,12 @@ Sending every document through the automata of all of the corpus would be quadra
  4. The automaton decides on what the window hashes name: only runs that its matching statistics find over at least LENGTH words, comparing words, are removed, so
     a collision of window hashes removes nothing. Whole copies (step 1) are told by 128 bits of hashes and the number of words.
 
-Scale: texts are written once, bucketed by doc_id, and joined with anchors, windows and spans without being shuffled; only hashes move.
+Scale: texts are written once, with a number for each row, bucketed by it, and joined with anchors, windows and spans without being shuffled; only hashes move.
 Minima per hash are map-side combined and joined back (AQE splits such joins), so a passage in a third of all documents meets in no
 single task.
 
-Defined cases: a null or blank text has no words; a very long text is hashed whole, and only its repeated passages go to automata; documents of fewer than LENGTH words lose nothing; rows with equal doc_ids count as one document (no
-window of theirs is judged by the other), and each row is returned; a null doc_id loses nothing; other columns are ignored by the query; empty table: empty
+Defined cases: a null or blank text has no words; a very long text is hashed whole, and only its repeated passages go to automata; documents of fewer than LENGTH words lose nothing; rows with equal doc_ids are not judged by one
+another, each loses what smaller doc_ids hold of its own text, and each is returned; a null doc_id loses nothing; other columns are ignored by the query; empty table: empty
 result.
 """
 
@@ -61,12 +61,12 @@ def _batch(names: str, *arrays: list) -> pa.RecordBatch:
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows (key, doc_id): the distinct anchors of a document; and (key, doc_id, other, n): two fingerprints and the number of words of each with `length` words."""
+    """Rows (key, row, doc_id): the distinct anchors of a document; and (key, row, doc_id, other, n): two fingerprints and the number of words of each with `length` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, ns, other = [], [], [], []
-            for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            keys, at, ids, ns, other = [], [], [], [], []
+            for row, i, t in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text"))):
                 words = t.split() if t and i is not None else []
                 if len(words) < length:
                     continue
@@ -75,55 +75,57 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 whole = mix(w + mix(np.arange(len(w), dtype=np.uint64)))
                 keys += [whole.sum(keepdims=True), m]
                 other += [mix(whole).sum(keepdims=True).view(np.int64), np.zeros(len(m), np.int64)]
+                at.append(np.full(len(m) + 1, row))
                 ids.append(np.full(len(m) + 1, i))
                 ns += [np.array([len(w)]), np.zeros(len(m), np.int64)]
             if ids:
-                yield _batch("l.key l.doc_id l.other l.n", np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(other), np.concatenate(ns))
+                yield _batch("l.key l.row l.doc_id l.other l.n", np.concatenate(keys).view(np.int64), *map(np.concatenate, (at, ids, other, ns)))
 
-    return docs.mapInArrow(run, "key long, doc_id long, other long, n long")
+    return docs.mapInArrow(run, "key long, row long, doc_id long, other long, n long")
 
 
 def windows(marked: DataFrame, length: int, gram: int) -> DataFrame:
-    """(wh, doc_id, start) of the windows whose anchors are among the document's marks."""
+    """(wh, row, doc_id, start) of the windows whose anchors are among the document's marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, ids, starts = [], [], []
-            for i, t, marks in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["marks"]):
+            hs, rows, ids, starts = [], [], [], []
+            for row, i, t, marks in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text")), batch["marks"]):
                 words = t.split() if t else []
                 if len(words) < length:
                     continue
                 w = _hashes().of(words)
                 at = np.flatnonzero(np.isin(window_anchors(w, length, gram), marks.values.to_numpy(zero_copy_only=False).view(np.uint64)))
                 hs.append(grams(w, length)[at])
+                rows.append(np.full(len(at), row))
                 ids.append(np.full(len(at), i))
                 starts.append(at)
             if ids:
-                h, d, s = (np.concatenate(x) for x in (hs, ids, starts))
+                h, r, d, s = map(np.concatenate, (hs, rows, ids, starts))
                 for x in range(0, len(h), 100_000):
-                    yield _batch("l.wh l.doc_id l.start", h[x : x + 100_000].view(np.int64), d[x : x + 100_000], s[x : x + 100_000])
+                    yield _batch("l.wh l.row l.doc_id l.start", h[x : x + 100_000].view(np.int64), *(v[x : x + 100_000] for v in (r, d, s)))
 
-    return marked.mapInArrow(run, "wh long, doc_id long, start long")
+    return marked.mapInArrow(run, "wh long, row long, doc_id long, start long")
 
 
 def passages(owned: DataFrame, length: int) -> DataFrame:
-    """(owner, doc_id, start, words): runs of windows with one owner."""
+    """(owner, row, doc_id, start, words): runs of windows with one owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for i, t, hits in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["hits"]):
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for row, i, t, hits in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text")), batch["hits"]):
                 start, owner = (hits.values.field(x).to_numpy(zero_copy_only=False) for x in ("start", "owner"))
                 order = np.argsort(start, kind="stable")
                 start, owner, words = start[order], owner[order], t.split()
                 cut = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (owner[1:] != owner[:-1]), [True]]))
                 for a, b in zip(cut[:-1], cut[1:]):
                     if start[b - 1] + length <= len(words):
-                        for part, x in zip(rows, (int(owner[a]), i, int(start[a]), b" ".join(words[start[a] : start[b - 1] + length]).decode())):
+                        for part, x in zip(rows, (int(owner[a]), row, i, int(start[a]), b" ".join(words[start[a] : start[b - 1] + length]).decode())):
                             part.append(x)
-            yield _batch("l.owner l.doc_id l.start s.words", *rows)
+            yield _batch("l.owner l.row l.doc_id l.start s.words", *rows)
 
-    return owned.mapInArrow(run, "owner long, doc_id long, start long, words string")
+    return owned.mapInArrow(run, "owner long, row long, doc_id long, start long, words string")
 
 
 class Automaton:
@@ -184,13 +186,13 @@ class Automaton:
 
 
 def matched(parts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, end): what the automaton of a shard finds in the passages that ask it. Rows (shard, part, asks, doc_id, start, words)."""
+    """(row, start, end): what the automaton of a shard finds in the passages that ask it. Rows (shard, part, asks, row, start, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, machine = None, Automaton()
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [])
-            for shard, part, asks, i, start, words in zip(*(batch[c].to_pylist() for c in ("shard", "part", "asks", "doc_id", "start", "words"))):
+            for shard, part, asks, i, start, words in zip(*(batch[c].to_pylist() for c in ("shard", "part", "asks", "row", "start", "words"))):
                 if (shard, part) != key:
                     key, machine = (shard, part), Automaton()
                 if not asks:
@@ -199,44 +201,44 @@ def matched(parts: DataFrame, length: int) -> DataFrame:
                 for a, b in machine.spans(words.split(" "), length):
                     for x, y in zip(rows, (i, start + a, start + b)):
                         x.append(y)
-            yield _batch("l.doc_id l.start l.end", *rows)
+            yield _batch("l.row l.start l.end", *rows)
 
     dealt = parts.repartition(spread(parts), "shard", "part").sortWithinPartitions("shard", "part", "asks")
-    return dealt.mapInArrow(run, "doc_id long, start long, end long")
+    return dealt.mapInArrow(run, "row long, start long, end long")
 
 
 def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, end): spans of words that a document with a smaller doc_id holds. texts: doc_id long, text binary, best bucketed by doc_id."""
+    """(row, start, end): spans of words that a document with a smaller doc_id holds. texts: row long (unique), doc_id long, text binary, best bucketed by row."""
     found = materialize(anchors(texts, length, gram), "anchors")
     heads = found.where("n > 0")
     first = heads.groupBy("key", "other").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = materialize(join_back(heads, first, "key", "other").where("doc_id > first").select("doc_id", "n").distinct(), "copies")
-    own = found.where("n = 0").join(copies.select("doc_id"), "doc_id", "left_anti")
+    copies = materialize(join_back(heads, first, "key", "other").where("doc_id > first").select("row", "n"), "copies")
+    own = found.where("n = 0").join(copies.select("row"), "row", "left_anti")
     shared = own.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    marks = join_back(own, shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("marks"))
-    seen = materialize(windows(texts.join(marks, "doc_id").select("doc_id", "text", "marks"), length, gram), "windows")
+    marks = join_back(own, shared, "key").groupBy("row").agg(F.collect_list("key").alias("marks"))
+    seen = materialize(windows(texts.join(marks, "row").select("row", "doc_id", "text", "marks"), length, gram), "windows")
     owners = seen.groupBy("wh").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("b")).where("owner < b").select("wh", "owner")
-    hits = materialize(join_back(seen, owners, "wh").groupBy("doc_id").agg(F.collect_list(F.struct("start", "owner")).alias("hits")), "hits")
-    runs = materialize(passages(texts.join(hits, "doc_id").select("doc_id", "text", "hits"), length), "passages")
+    hits = materialize(join_back(seen, owners, "wh").groupBy("row").agg(F.collect_list(F.struct("start", "owner")).alias("hits")), "hits")
+    runs = materialize(passages(texts.join(hits, "row").select("row", "doc_id", "text", "hits"), length), "passages")
     size = (F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).cast("long")
     asks = F.col("doc_id") != F.col("owner")
     total = runs.where(~asks).agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD))
-    dealt = runs.select(F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard"), asks.alias("asks"), "doc_id", "start", "words")
+    dealt = runs.select(F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard"), asks.alias("asks"), "row", "start", "words")
     loads = dealt.where("asks").groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / PROBES)).cast("int").alias("parts"))
     both = dealt.join(loads, "shard")
-    asking = both.where("asks").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int"))
+    asking = both.where("asks").withColumn("part", F.pmod(F.xxhash64("row", "start"), F.col("parts")).cast("int"))
     held = both.where("not asks").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spans = matched(asking.unionByName(held).select("shard", "part", "asks", "doc_id", "start", "words"), length)
-    return spans.unionAll(copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
+    spans = matched(asking.unionByName(held).select("shard", "part", "asks", "row", "start", "words"), length)
+    return spans.unionAll(copies.select("row", F.lit(0).cast("long").alias("start"), F.col("n").alias("end")))
 
 
 def bucketed(docs: DataFrame) -> DataFrame:
-    """doc_id and text (binary) of docs, in buckets of doc_id in the shared folder: joins by doc_id then leave the texts where they are. The catalog forgets the
-    table at once, as its plan knows files and buckets."""
+    """row, doc_id and text (binary) of docs, in buckets of row in the shared folder: joins by row then leave the texts where they are. A row's number is what was written,
+    so it is the same in every read. The catalog forgets the table at once, as its plan knows files and buckets."""
     spark, name = docs.sparkSession, f"urlmill_texts_{uuid.uuid4().hex}"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    rows.write.bucketBy(spread(docs), "doc_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    rows.write.bucketBy(spread(docs), "row").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name, format="parquet")
     out = spark.table(name)
     out.schema  # resolved while the catalog has it
     spark.sql(f"DROP TABLE {name}")
@@ -246,7 +248,7 @@ def bucketed(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) of every row."""
     texts = bucketed(docs)
-    spans = repeated(texts, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated(texts, length, gram).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +268,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 kept.append(b" ".join(words_left).decode())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return texts.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
