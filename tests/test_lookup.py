@@ -44,13 +44,6 @@ def test_checkpoint(spark):
     assert lookup.best_checkpoint(runs).first().run == "z"
 
 
-def test_partial_answer(spark):
-    rows = [('{"summary": "All is we',), ('{"summary": "ok", "reasons": ["a", "b", "c',), ('{"summary": "s", "reasons": ["r"], "advice": ["x", "y"]}',), ("nope",)]
-    d = spark.createDataFrame(rows, "t string").select(display.partial_answer(F.col("t")).alias("p"))
-    got = [r.p and (r.p.summary, r.p.reasons, r.p.advice) for r in d.collect()]
-    assert got == [("All is we", [], []), ("ok", ["a", "b"], []), ("s", ["r"], ["x", "y"]), None]
-
-
 def test_lists_and_domains(spark):
     d = spark.createDataFrame([("https://www.google.com/x",), ("https://evil.google.com/",), ("ftp://google.com",), ("http://localhost:8000/",), ("chrome://newtab",), ("",)], "u string")
     assert [tuple(r) for r in d.select(domains.is_trusted(F.col("u")), domains.is_ignored(F.col("u"), "https://scan.example")).collect()] == [(True, False), (False, False), (False, True), (False, True), (False, True), (False, True)]

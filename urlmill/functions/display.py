@@ -55,14 +55,3 @@ def infer_shortcut(page_status: Column, stored: Column, signals: Column) -> Colu
 
 def health(feed_key: Column, cache: Column, page: Column, db_enabled: Column, history: Column) -> Column:
     return F.when(feed_key & cache & page & (~db_enabled | history), "ok").otherwise("degraded")
-
-
-def partial_answer(text: Column) -> Column:
-    """struct(summary, reasons, advice) of a JSON object that may be cut off: what is complete so far, the summary even if it is open.
-
-    The cut text is closed by expressions: an open string is ended, then open brackets.
-    """
-    summary = F.regexp_extract(text, r'"summary"\s*:\s*"((?:[^"\\]|\\.)*)', 1)
-    items = lambda k, n: F.slice(F.regexp_extract_all(F.regexp_extract(text, rf'"{k}"\s*:\s*\[([^\]]*)', 1), F.lit(r'"((?:[^"\\]|\\.)*)"'), 1), 1, n)
-    ok = F.ltrim(text).startswith("{")
-    return F.when(ok, F.struct(F.left(summary, F.lit(1600)).alias("summary"), items("reasons", 6).alias("reasons"), items("advice", 5).alias("advice")))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import as_of
+
 
 def _ordered(df: DataFrame, key: str, at: str, *more: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), *more)))
@@ -33,21 +35,16 @@ def ttl_cache(df: DataFrame, ttl: Column | int, key: str = "key", at: str = "at"
     return d.select(key, n.alias("lookups"), hits.alias("hits")).withColumn("loads", F.col("lookups") - F.col("hits"))
 
 
-def cache_as_of(lookups: DataFrame, entries: DataFrame, key: str = "key") -> DataFrame:
-    """lookups (key, at) with the newest entry (key, fetched_at, expires_at, payload) that is valid then: fetched_at <= at < expires_at."""
-    e = entries.select(F.col(key).alias("_k"), "fetched_at", "expires_at", "payload")
-    j = lookups.withColumn("_id", F.monotonically_increasing_id()).join(e, (F.col(key) == F.col("_k")) & (F.col("fetched_at") <= F.col("at")) & (F.col("at") < F.col("expires_at")), "left")
-    return j.groupBy("_id", key, "at").agg(F.max_by("payload", "fetched_at").alias("payload")).drop("_id")
+def cache_as_of(lookups: DataFrame, entries: DataFrame, key: str = "key", width: int = 3_600) -> DataFrame:
+    """lookups (key, at and others) with the `payload` of the newest entry (key, fetched_at, expires_at, payload) that is valid then: fetched_at <= at < expires_at. See `asof.as_of`."""
+    return as_of(lookups, entries, key, width)
 
 
-def cache_two_level(lookups: DataFrame, shared: DataFrame, local: DataFrame, key: str = "key") -> DataFrame:
+def cache_two_level(lookups: DataFrame, shared: DataFrame, local: DataFrame, key: str = "key", width: int = 3_600) -> DataFrame:
     """lookups with `payload` and `level`: what the shared store holds then, else the local one, else null. Both as in cache_as_of."""
-    asked = lookups.select(key, "at").distinct()
-    a = cache_as_of(asked, shared, key).withColumnRenamed("payload", "_shared")
-    b = cache_as_of(asked, local, key).withColumnRenamed("payload", "_local")
+    both = as_of(as_of(lookups, shared, key, width, "_shared"), local, key, width, "_local")
     level = F.when(F.col("_shared").isNotNull(), "shared").when(F.col("_local").isNotNull(), "local")
-    found = a.join(b, [key, "at"]).select(key, "at", F.coalesce("_shared", "_local").alias("payload"), level.alias("level"))
-    return lookups.join(found, [key, "at"])
+    return both.select(*lookups.columns, F.coalesce("_shared", "_local").alias("payload"), level.alias("level"))
 
 
 def written_through(entries: DataFrame, shared_enabled: Column, shared_ttl: int, local_ttl: int) -> tuple[DataFrame, DataFrame]:
@@ -90,6 +87,14 @@ def progress(df: DataFrame) -> DataFrame:
     return g.withColumn("position", F.row_number().over(Window.partitionBy("scan_id").orderBy("first_seq")))
 
 
+def idle_gaps(df: DataFrame, idle: int = 10, forget: int = 3_600, key: str = "scan_id") -> DataFrame:
+    """(scan_id, idle_from, idle_to, keepalives): gaps of `idle` to `forget` seconds between an event that is not terminal and the scan's next one. Rows: scan_id, at (seconds), terminal."""
+    w = Window.partitionBy(key).orderBy("at", "terminal")
+    rows = df.select(key, F.lag("at").over(w).cast("long").alias("idle_from"), F.col("at").cast("long").alias("idle_to"), F.lag("terminal").over(w).alias("_over"))
+    gap = F.col("idle_to") - F.col("idle_from")
+    return rows.where(~F.col("_over") & gap.between(idle, forget)).select(key, "idle_from", "idle_to", F.floor(gap / idle).alias("keepalives"))
+
+
 def newest(df: DataFrame, keep: int, at: str, *ties: str) -> DataFrame:
     """The newest rows of a bounded store."""
     return df.orderBy(F.desc(at), *ties).limit(keep)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import display, guards, pages
+from ..functions import display, guards, pages, partial_json
 from ..operators import corpus, evaluation, folds, inspect, lookup, state
 from ..sources import blobs
 from .checks import _AT
@@ -208,15 +208,33 @@ SELECT run, CASE WHEN i IS NOT NULL THEN 'training' END AS phase, CAST(i % 4 AS
 
 
 def cut_answers(spark, sf):
-    """A JSON answer cut off at the page's number."""
-    whole = '{"summary": "Nothing \\"odd\\" here", "reasons": ["old host", "plain form"], "advice": ["look twice"]}'
-    cut = F.left(F.lit(whole), (F.col("page_id") % (len(whole) + 1)).cast("int"))
-    a = display.partial_answer(cut)
-    return table(spark, sf, "pages").select("page_id", a["summary"].alias("summary"), F.size(a["reasons"]).cast("long").alias("reasons"), F.size(a["advice"]).cast("long").alias("advice"))
-
-
-SQL_ANSWERS_CUT = """WITH p AS (SELECT page_id, page_id % 101 AS n FROM pages) SELECT page_id, CASE WHEN n = 0 THEN NULL WHEN n < 14 THEN '' WHEN n IN (22, 27) THEN substr('Nothing \\"odd\\" here', 1, CAST(n - 14 AS INT)) ELSE substr('Nothing \\"odd\\" here', 1, CAST(n - 13 AS INT)) END AS summary,
-  CASE WHEN n = 0 THEN NULL ELSE (CASE WHEN n >= 58 THEN 1 ELSE 0 END) + (CASE WHEN n >= 72 THEN 1 ELSE 0 END) END AS reasons, CASE WHEN n = 0 THEN NULL WHEN n >= 98 THEN 1 ELSE 0 END AS advice FROM p"""
+    """Turns as JSON answers that are cut off after some of their characters, within escapes too: the text is the summary, then the role and the text are reasons."""
+    quoted = lambda c: F.concat(F.lit('"'), *[_escaped(c)], F.lit('"'))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = F.concat(F.lit('{"summary":'), quoted("text"), F.lit(',"reasons":['), quoted("role"), F.lit(","), quoted("text"), F.lit("]}"))
+    n = F.pmod(F.col("conv_id") * 389 + F.coalesce("turn", F.lit(0)) * 97, F.length("whole") + 1)
+    a = partial_json.partial_answer(F.left("whole", n.cast("int")))
+    return c.withColumn("whole", whole).select("conv_id", "turn", a.alias("a")).select("conv_id", "turn", "a.summary", F.array_join("a.reasons", "|").alias("reasons"), F.size("a.advice").cast("long").alias("advice"))
+
+
+def _escaped(c):
+    """Text as in JSON: é as an escape of six characters, to be cut within."""
+    out = F.col(c)
+    for plain, held in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("e", "\\u0065")):
+        out = F.replace(out, F.lit(plain), F.lit(held))
+    return out
+
+
+# Counts, for each character, where its escaped form ends.
+SQL_ANSWERS_CUT = """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations),
+l AS (SELECT *, list_transform(string_split(t, ''), lambda x: CASE WHEN x = 'e' THEN 6 WHEN x IN ('"', chr(92), chr(10), chr(13), chr(9)) THEN 2 ELSE length(x) END) AS tl, list_transform(string_split(r, ''), lambda x: CASE WHEN x = 'e' THEN 6 ELSE length(x) END) AS rl FROM c),
+s AS (SELECT *, coalesce(list_sum(tl), 0)::BIGINT AS nt, coalesce(list_sum(rl), 0)::BIGINT AS nr FROM l),
+n AS (SELECT *, (conv_id * 389 + coalesce(turn, 0) * 97) % (33 + 2 * nt + nr) AS n FROM s),
+p AS (SELECT *, n - 12 AS a, n - 26 - nt AS b, n - 29 - nt - nr AS d FROM n),
+k AS (SELECT *, len(list_filter(list_transform(range(1, len(tl) + 1), lambda i: list_sum(tl[1:i])), lambda x: x <= a)) AS ka, len(list_filter(list_transform(range(1, len(rl) + 1), lambda i: list_sum(rl[1:i])), lambda x: x <= b)) AS kb,
+  len(list_filter(list_transform(range(1, len(tl) + 1), lambda i: list_sum(tl[1:i])), lambda x: x <= d)) AS kd FROM p)
+SELECT conv_id, turn, CASE WHEN n = 0 THEN NULL WHEN a < 0 THEN '' ELSE left(left(t, ka), 1600) END AS summary,
+  CASE WHEN n = 0 THEN NULL WHEN b < 0 THEN '' WHEN d < 0 THEN left(r, kb) ELSE left(r, kb) || '|' || left(left(t, kd), 800) END AS reasons, CASE WHEN n > 0 THEN 0::BIGINT END AS advice FROM k"""
 
 
 def registrations(spark, sf):

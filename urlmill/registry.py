@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import checks, extras, pages, records, tables, urls
+from .plans import checks, extras, hosts, pages, records, streams, tables, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (urls, pages, tables, extras, checks, records):
+for _m in (urls, pages, tables, extras, checks, records, streams, hosts):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
