@@ -1,5 +1,7 @@
 """Literal cases of URL functions, guards, rules and policy."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,12 +24,23 @@ def test_http_penalty(spark):
     assert one(spark, "double", [0.3, 1.0], lambda x: rules.with_http_penalty(x, F.lit("https"))) == [0.3, 1.0]
 
 
-FILES = [f"https://{host}.urlmill.test/{name}" for host, name in (("get", "Tool.MSI?v=2#top"), ("docs", "q3%2Exlsx"), ("docs", "%C3%28notes%2etxt"), ("cdn", "build.7z"), ("img", "cat.webp/"), ("cdn", "song.flac"), ("docs", "plan.odt;v=9"), ("api", "rows.csv"), ("docs", "a/b/c.pdf//"))]
-PAGES = ["https://urlmill.test", "https://urlmill.mov/", *[f"https://urlmill.test/{name}" for name in ("start.htm", "cart.jsp", "plan.odt/edit", "?get=tool.msi", "a#b.7z", "v1.2", "noending", ".")]]
+def names(count=400, seed=8):
+    """URLs whose last segment is a file by the rule (True) or not (False): each step of the rule, taken or not, for every ending."""
+    r = random.Random(seed)
+    letter = lambda c: f"%{ord(c):02{r.choice('xX')}}" if r.random() < 0.2 else r.choice([c, c.upper()])
+    for i in range(count):
+        ending, stem = guards.FILE_EXTENSIONS[i % len(guards.FILE_EXTENSIONS)], "".join(r.choice("kmqz-_.~") for _ in range(r.randint(1, 6)))
+        file = stem + r.choice([".", "%2e", "%2E"]) + "".join(map(letter, ending))
+        path = "/".join([r.choice(["", "f", "f.g", "%20"]) for _ in range(r.randint(0, 3))] + [""])
+        after = r.choice(["", ";", ";k=1", ";k=a.b"]) + r.choice(["", "/", "//"]) + r.choice(["", "?", "?k=1"]) + r.choice(["", "#", "#k"])
+        yield f"https://h{i}.urlmill.test/{path}{file}{after}", True
+        other = [f"urlmill.{ending}", f"urlmill.test/{path}{file}/{stem}k", f"urlmill.test/{path}?{file}", f"urlmill.test/{path}#{file}", f"urlmill.test/{path}{stem}k.{ending}k", f"urlmill.test/{path}k{ending}", f"urlmill.test/{path}k;{file}"]
+        yield f"https://{other[i % len(other)]}", False
 
 
 def test_file_links(spark):
-    assert one(spark, "string", FILES + PAGES, guards.is_file_link) == [True] * len(FILES) + [False] * len(PAGES)
+    cases = list(names())
+    assert one(spark, "string", [u for u, _ in cases], guards.is_file_link) == [w for _, w in cases]
 
 
 def test_headers(spark):
