@@ -1,8 +1,7 @@
 """Streams with state that expires: caches with a lifetime, rate limits, idle gaps, frame decoding.
 
 State is kept per key, a few numbers each, with an event-time timeout at the second from which they can change nothing any more: when the watermark has
-passed it, the state is removed, so keys that fall silent cost nothing. State and rows come and go in Arrow batches (applyInPandasWithState; the same folds under transformWithState took
-a round trip to the JVM for each state access of each key, and many times as long). Rows of a key are folded in time order within a micro-batch; rows older than the watermark, which
+passed it, the state is removed, so keys that fall silent cost nothing. State and rows come and go in Arrow batches (applyInPandasWithState). Rows of a key are folded in time order within a micro-batch; rows older than the watermark, which
 begins at the epoch, are dropped, as everywhere in Structured Streaming. The batch forms in urlmill.operators.state give the same rows.
 """
 
