@@ -223,6 +223,41 @@ def test_places(spark):
     assert [x.t for x in sorted(got, key=lambda x: x.n)] == sorted((t for _, t in rows), key=lambda t: hashlib.sha256(f"s|{t}".encode()).hexdigest())
 
 
+def test_text_buckets_spread_keys_that_start_alike(spark):
+    from urlmill.operators import ranks
+
+    r = random.Random(8)
+    keys = [f"https://urlmill.test/{r.choice('abé漢')}{r.randint(0, 10**6)}" for _ in range(3000)] + [None, ""]
+    d = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = d.select("k", ranks.key_bucket(d, "k").alias("b")).collect()
+    held = sorted((x for x in got if x.k is not None), key=lambda x: x.k.encode())
+    assert [x.b for x in held] == sorted(x.b for x in held) and len({x.b for x in held}) > 100
+    n = ranks.with_place(d, "n", ranks.key_bucket(d, "k"), "k").collect()
+    assert [x.k for x in sorted(n, key=lambda x: x.n)] == sorted(keys, key=lambda k: (k is not None, (k or "").encode()))
+
+
+@pytest.mark.parametrize("rows", [0, 4, 10, 137])
+def test_bins_of_equal_size(spark, rows):
+    r = random.Random(rows)
+    data = [(i, r.choice([0.0, 0.1, 0.1, 0.5, r.random()]), float(r.random() < 0.5)) for i in range(rows)]
+    got = {x.bin: (x.n, round(x.mean_score, 9), round(x.positives, 9)) for x in evaluation.calibration(spark.createDataFrame(data, "id long, score double, label double"), "id").collect()}
+    order, want, at = sorted(data, key=lambda x: (x[1], x[0])), {}, 0
+    for b in range(10):
+        part = order[at : at + rows // 10 + (b < rows % 10)]
+        at += len(part)
+        if part:
+            want[b + 1] = (len(part), round(sum(x[1] for x in part) / len(part), 9), round(sum(x[2] for x in part) / len(part), 9))
+    assert got == want
+
+
+@pytest.mark.parametrize("width,run", [(1, 4), (3, 4), (7, 7), (5, 65_536)])
+def test_rolling_means_over_runs(spark, width, run):
+    vals = [random.Random(i).random() for i in range(60)]
+    d = spark.createDataFrame([(i * 40_000, v) for i, v in enumerate(vals)], "t long, v double")
+    got = {x.t // 40_000: x.rolling for x in profile.rolling_mean(d, "v", "t", width, run).collect()}
+    assert len(got) == 60 and all(abs(got[i] - sum(vals[max(0, i - width + 1) : i + 1]) / len(vals[max(0, i - width + 1) : i + 1])) < 1e-9 for i in range(60))
+
+
 def test_score_buckets_keep_order(spark):
     from urlmill.operators import ranks
 

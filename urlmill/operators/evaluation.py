@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import score_bucket
+from .ranks import score_bucket, with_place
 
 
 def _div(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -120,8 +120,13 @@ def slices(df: DataFrame, names: dict[str, Column], threshold: float) -> DataFra
 
 
 def calibration(df: DataFrame, key: str, bins: int = 10) -> DataFrame:
-    """Mean score and share of positives in bins of equal size."""
-    b = df.withColumn("bin", F.ntile(bins).over(Window.orderBy("score", key)))
+    """Mean score and share of positives in bins of equal size, the first ones a row larger where rows are left over. Places come from buckets of the score, so no task sorts all rows."""
+    n = df.count()
+    size, over = n // bins, n % bins
+    place = F.col("_place")
+    rest = over + F.ceil((place - over * (size + 1)) / max(size, 1))
+    b = with_place(df, "_place", score_bucket(F.col("score")), "score", key)
+    b = b.withColumn("bin", F.when(place <= over * (size + 1), F.ceil(place / (size + 1))).otherwise(rest).cast("int"))
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg("label").alias("positives"))
 
 

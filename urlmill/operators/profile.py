@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import key_bucket, with_place
+
 
 def missing(df: DataFrame) -> DataFrame:
     """(column, missing) - null or empty - of every column, from one aggregate."""
@@ -81,10 +83,18 @@ def describe_by(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("max"))
 
 
-def rolling_mean(df: DataFrame, value: str, order: str, width: int) -> DataFrame:
-    """Adds the mean of the last `width` rows, over however many there are."""
-    w = Window.orderBy(order).rowsBetween(1 - width, 0)
-    return df.withColumn("rolling", F.avg(value).over(w))
+def rolling_mean(df: DataFrame, value: str, order: str, width: int, run: int = 65_536) -> DataFrame:
+    """Adds the mean of the last `width` rows, over however many there are.
+
+    Rows get their places through buckets of the order, and are averaged in runs of `run` places (`width` at least); the last rows of a run are guests in the next one.
+    """
+    run = max(run, width)
+    placed = with_place(df, "_place", key_bucket(df, order), order)
+    own, late = F.floor((F.col("_place") - 1) / run), (F.col("_place") - 1) % run > run - width
+    runs = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    each = placed.withColumn("_own", own).withColumn("_run", F.explode(runs))
+    w = Window.partitionBy("_run").orderBy("_place").rowsBetween(1 - width, 0)
+    return each.withColumn("rolling", F.avg(value).over(w)).where("_run = _own").drop("_place", "_own", "_run")
 
 
 def invalid_labels(df: DataFrame, label: str, valid: tuple[str, ...] = ("0", "1")) -> DataFrame:

@@ -16,11 +16,18 @@ def score_bucket(score: Column) -> Column:
     return F.when(x.isNull(), F.lit(-(1 << 40))).when(F.isnan(x), F.lit(1 << 40)).otherwise(scaled).cast("long")
 
 
+SAMPLE, BORDERS = 4_096, 128
+
+
 def key_bucket(df: DataFrame, key: str) -> Column:
-    """An order-preserving bucket of a key: runs of 65,536 whole numbers, the first three characters of other keys."""
+    """An order-preserving bucket of a key: runs of 65,536 whole numbers; for other keys the number of borders up to it, BORDERS values spread over a sample of SAMPLE rows by hash."""
     if isinstance(df.schema[key].dataType, T.IntegralType):
         return F.floor(F.col(key).cast("double") / 65_536.0)
-    return F.substring(F.col(key).cast("string"), 1, 3)
+    picked = df.select(F.col(key).alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(SAMPLE).distinct().orderBy("k")
+    some = [r.k for r in picked.collect()]
+    step = max(1, len(some) // BORDERS)
+    borders = F.array(*[F.lit(k) for k in some[step::step]]).cast(T.ArrayType(df.schema[key].dataType))
+    return F.when(F.col(key).isNotNull(), F.size(F.filter(borders, lambda b: b <= F.col(key))))
 
 
 def with_place(df: DataFrame, name: str, bucket: Column, *order: Column | str) -> DataFrame:
