@@ -191,3 +191,24 @@ def test_ties_within_lists_connect_all_retained_pairs():
             return top
 
         assert tops(same) == tops(zip(a, b))
+
+
+# ---- the pipeline on odd rows
+
+
+def test_pipeline_odd_rows(spark, sf, tmp_path):
+    """Null and empty texts, null and repeated doc_ids, repeated rows, null languages and sources, columns with clashing names; and empty tables."""
+    import corpus_pipeline as c
+
+    good = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1000, "", "en", "s", 0), (1001, " \n", None, None, 2), (1002, None, "en", None, None), (None, "a b", "en", "s", 3)], good.schema)
+    docs_ = good.unionByName(odd).unionByName(good.limit(3)).withColumns({"row": F.lit(1), "f": F.lit("x"), "copies": F.lit(2), "h": F.lit("h")})
+    docs_.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    out = c.run(spark, str(tmp_path))
+    rows = out.collect()
+    assert rows and set(docs_.columns) <= set(out.columns) and all(r.exact and r.row == 1 and r.f == "x" and r.copies == 2 for r in rows)
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in good.collect()}
+    docs_.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert c.run(spark, f"{tmp_path}/none").count() == 0
