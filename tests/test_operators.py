@@ -165,8 +165,8 @@ def test_sources(spark, tmp_path):
     assert [r.value for r in readers.read_lines(spark, str(tmp_path / "l.txt")).collect()] == ["a.org", "b.org"]
     for label in ("benign", "phish"):
         (tmp_path / "h" / label).mkdir(parents=True)
-        (tmp_path / "h" / label / "p.html").write_text(f"<p>{label}</p>")
-    assert {(r.label, r.html) for r in readers.read_html_folders(spark, str(tmp_path / "h")).collect()} == {("benign", "<p>benign</p>"), ("phish", "<p>phish</p>")}
+        (tmp_path / "h" / label / "p.html").write_text(f"<p>\n{label}</p>")
+    assert {(r.label, r.html) for r in readers.read_html_folders(spark, str(tmp_path / "h")).collect()} == {("benign", "<p>\nbenign</p>"), ("phish", "<p>\nphish</p>")}
     (tmp_path / "j.json").write_text('[{"a": 1}, {"a": 2}]')
     assert readers.read_json_array(spark, str(tmp_path / "j.json"), "a int").count() == 2
     import io

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import hash_order, sample, shard_indices
+from .json_arrays import read_json_array  # noqa: F401
 
 
 def read_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
@@ -79,10 +80,6 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 def read_lines(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
     """value: trimmed lines that are neither blank nor comments."""
     line = F.trim("value")
@@ -91,17 +88,10 @@ def read_lines(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
 
 def read_html_folders(spark: SparkSession, root: str) -> DataFrame:
     """path, label (name of the folder), html of root/<label>/*.html."""
-    df = spark.read.option("wholetext", True).text(f"{root}/*/*.html").withColumn("path", F.input_file_name())
+    df = spark.read.text(f"{root}/*/*.html", wholetext=True).withColumn("path", F.input_file_name())
     return df.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("label"), F.col("value").alias("html"))
 
 
-def export_pages(pages: DataFrame, path: str, per_label: int, seed: str = "export") -> None:
-    """Up to per_label pages of each label, as one folder a label; names are slug and hash."""
-    slug = F.regexp_replace(F.coalesce("host", F.lit("")), "[^a-zA-Z0-9]+", "_")
-    kept = sample(pages, per_label, seed, "sha256", "label_id")
-    kept.withColumn("name", F.concat(slug, F.lit("_"), F.left("sha256", F.lit(12)), F.lit(".html"))).write.mode("overwrite").partitionBy("label_id").parquet(path)
-
-
 def quota_sample(rows: DataFrame, seen: DataFrame, least: int, quota: int, seed: str) -> DataFrame:
     """Rows of at least `least` characters, unknown and distinct by hash, up to quota per label."""
     fresh = rows.where(F.length("html") >= least).join(seen.select("sha256"), "sha256", "left_anti").dropDuplicates(["sha256"])
