@@ -212,3 +212,64 @@ def test_pipeline_odd_rows(spark, sf, tmp_path):
     docs_.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
     assert c.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_html_short_own_text_beside_a_longer_equal_notice():
+    from urlmill.llm import html
+
+    notice = "This town publishes its notes without any warranty of being right or complete at any time."
+    page = "<html><body><div><div>{}</div><div>{}</div></div></body></html>"
+    pages = [page.format(f"Meeting of day {i}", notice) for i in range(12)]
+    assert html.extract(pages) == [f"Meeting of day {i}" for i in range(12)]
+    # Versions of one article keep what they share.
+    article = "<html><body><div>{}</div></body></html>"
+    same = "".join(f"<p>Paragraph {i} of the one report.</p>" for i in range(9))
+    got = html.extract([article.format(f"{same}<p>Version {i}</p>") for i in range(12)])
+    assert all("Paragraph 4 of the one report." in t and f"Version {i}" in t for i, t in enumerate(got))
+
+
+def test_html_nested_lists_take_linear_time():
+    import time
+
+    from urlmill.llm import html
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert html.extract(["<ul><li></li><li>" * n + "x"]) == ["x"]
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(16_000) < 16 * max(seconds(2_000), 0.02)
+
+
+def test_html_menu_lists_by_bottom_up_marks():
+    from urlmill.llm import html
+
+    r = random.Random(5)
+
+    def item(depth):
+        parts = [r.choice(("", " ", "t", "<a>l</a>", "<a><b>l</b></a>", "<b> </b>", "<form>f</form>")) for _ in range(2)]
+        if depth and r.random() < 0.6:
+            parts.append("<ul>" + "".join(f"<li>{item(depth - 1)}</li>" for _ in range(r.randint(0, 3))) + "</ul>")
+        return "".join(parts)
+
+    def plain(x):  # from the definition, top down
+        return not x.isspace() and x != "" if isinstance(x, str) else x.tag != "a" and not x.skip and any(map(plain, x.kids))
+
+    for _ in range(300):
+        top = html.parse(f"<ul><li>{item(4)}</li></ul>")
+        marks, todo = html._plain(top), [top]
+        while todo:
+            x = todo.pop()
+            assert (id(x) in marks) == plain(x)
+            todo += [k for k in x.kids if not isinstance(k, str)]
+
+
+def test_html_groups_are_bounded_by_characters(spark):
+    from urlmill.llm import html
+
+    assert [html.group_end(*x) for x in (([5, 5, 5], 2, 100), ([5, 5, 5], 9, 10), ([50, 5], 9, 10), ([4, 4, 4], 9, 11), ([1], 9, 10), ([0] * 5, 3, 0))] == [2, 2, 1, 2, 1, 3]
+    rows = [(i, f"https://h{i % 2}.org/{i}", f"<article><p>Text {i}</p></article>" * (1 + i % 5)) for i in range(60)] + [(99, "https://h0.org/", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in html.extract_pages(d).collect()}
+    assert len(whole) == 61 and {r.page_id: r.text for r in html.extract_pages(d, chars=300).collect()} == whole == {r.page_id: r.text for r in html.extract_pages(d, chars=1).collect()}

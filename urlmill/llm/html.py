@@ -7,8 +7,9 @@ content - wherever they stand, but for what names itself furniture by tag, role
 main text is the smallest subtree with child blocks that holds all varying slots; lists of nothing but links outside of main elements are menus. Tags are weights in that: text below <article>/<main> counts
 MAIN times, and where that outweighs the varying text elsewhere in the group's pages, a page's outermost such elements are the region.
 
-Scale: pages are dealt by host, hosts of more than PART pages in several parts, and a task takes the pages of a part GROUP to 2 * GROUP at a time; each
-such group induces its template from all its pages, so a task's memory is bounded. Page counts per host are a map-side sum; the table of hosts with
+Scale: pages are dealt by host, hosts of more than PART pages in several parts, and a task takes the pages of a part GROUP to 2 * GROUP at a time, fewer where
+they have more than CHARS to 2 * CHARS characters; each such group induces its template from all its pages. So a task holds the trees of 2 * CHARS characters (about 250 MB) or of one longer page: pages of more than
+CHARS / SMALL characters, far beyond those of the tables, may be judged by their tags alone. Page counts per host are a map-side sum; the table of hosts with
 several parts is broadcast if it has at most FEW rows (a driver-side count) and joined by a shuffle beyond. html moves once in the first case.
 Reading a page is linear in its length; equal pages of a group are read once.
 
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import spread, table
 
 GROUP, PART, FEW = 200, 400, 50_000
+#: Characters of html in one group; a tree takes about twelve times its page.
+CHARS = 10_000_000
 #: The largest product of two sibling lists that is aligned cell by cell, and whose table is held at once; longer ones go by rows and are halved first.
 SMALL_TABLE, CELLS = 4_000, 250_000
 #: A text of a slot is constant if at least this many distinct pages have the slot, in at least this share of all, all but this share with that text.
@@ -520,13 +523,13 @@ class Varying:
 
     def __init__(self, page: Node, constant: dict[int, Node]):
         self.page, self.constant, self.has, self.weight, self.own = page, constant, set(), {}, {}
-        self.mains, todo = [], [page]
+        self.mains, todo, plain = [], [page], _plain(page)
         while todo:
             x = todo.pop()
             if x.main:
                 if _holds_text(x):
                     self.mains.append(x)
-            elif x.tag in ("ul", "ol") and len(x.slot) > 1 and not any(_plain(k) for k in x.kids):
+            elif x.tag in ("ul", "ol") and len(x.slot) > 1 and not any(_in_plain(k, plain) for k in x.kids):
                 x.skip = True  # a menu: a list of nothing but links
             else:
                 todo.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not k.skip)
@@ -588,17 +591,19 @@ def _below(node: Node) -> Iterator[Node]:
         todo.extend(k for k in x.slot if not k.skip)
 
 
-def _plain(top: Node | str) -> bool:
-    """Whether there is text outside of links."""
-    todo = [top]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            if x and not x.isspace():
-                return True
-        elif x.tag != "a" and not x.skip:
-            todo.extend(x.kids)
-    return False
+def _in_plain(x: Node | str, plain: set[int]) -> bool:
+    return bool(x) and not x.isspace() if isinstance(x, str) else id(x) in plain
+
+
+def _plain(top: Node) -> set[int]:
+    """The nodes that hold text outside of links and skipped nodes, found from the leaves up in one pass."""
+    order, plain = [top], set()
+    for x in order:
+        order.extend(k for k in x.kids if isinstance(k, Node))
+    for x in reversed(order):
+        if x.tag != "a" and not x.skip and any(_in_plain(k, plain) for k in x.kids):
+            plain.add(id(x))
+    return plain
 
 
 def extract(pages: list[str | None]) -> list[str]:
@@ -638,15 +643,26 @@ def _text(view: Varying, by_tags: bool) -> str:
         tops = view.mains
     else:
         tops = [view.region()]
-    inside = [x for top in tops for x in (top, *_below(top)) if id(x) in view.constant]
-    # Where most of it is constant, the pages are versions of one article.
-    if inside and 2 * sum(len(x.text) for x in inside) <= sum(len(b) for top in tops for b in blocks(top)):
+    leaves = [x for top in tops for x in (top, *_below(top)) if x.text]
+    inside = [x for x in leaves if id(x) in view.constant]
+    # Where most of it is constant, by characters and by places, the pages are versions of one article.
+    if inside and (2 * len(inside) <= len(leaves) or 2 * sum(len(x.text) for x in inside) <= sum(len(b) for top in tops for b in blocks(top))):
         for node in inside:
             node.skip = True
     return "\n\n".join(b for top in tops if not top.skip for b in blocks(top))
 
 
-def extract_pages(pages: DataFrame, group: int = GROUP, part: int = PART, few: int = FEW) -> DataFrame:
+def group_end(sizes: list[int], group: int, chars: int) -> int:
+    """How many of the first pages make a group: `group` of them, or as many as stay within `chars` characters, one at least."""
+    total = 0
+    for n, size in enumerate(sizes[:group]):
+        total += size
+        if n and total > chars:
+            return n
+    return min(group, len(sizes))
+
+
+def extract_pages(pages: DataFrame, group: int = GROUP, part: int = PART, few: int = FEW, chars: int = CHARS) -> DataFrame:
     """page_id, url, text of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     named = pages.select("page_id", "url", "html", host.alias("host"))
@@ -656,21 +672,25 @@ def extract_pages(pages: DataFrame, group: int = GROUP, part: int = PART, few: i
     ready = dealt.select("host", "part", "page_id", "url", "html").repartition(spread(pages), "host", "part").sortWithinPartitions("host", "part", "page_id", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, size = None, [], 0
 
         def done(rows: list) -> pa.RecordBatch:
             ids, urls, htmls = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(extract(list(htmls)), pa.string())], names=["page_id", "url", "text"])
 
-        for batch in (whole.slice(a, 200) for whole in batches for a in range(0, whole.num_rows, 200)):
+        for batch in (whole.slice(a, 20) for whole in batches for a in range(0, whole.num_rows, 20)):
             for host, part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                more = len(row[2] or "")
                 if (host, part) != key and held:
                     yield done(held)
-                    held = []
-                elif len(held) >= 2 * group:
-                    yield done(held[:group])
-                    held = held[group:]
-                key = (host, part)
+                    held, size = [], 0
+                # A group and what follows it are held, so that the last one is not a small rest.
+                while held and (len(held) >= 2 * group or size + more > 2 * chars):
+                    n = group_end([len(r[2] or "") for r in held], group, chars)
+                    yield done(held[:n])
+                    size -= sum(len(r[2] or "") for r in held[:n])
+                    held = held[n:]
+                key, size = (host, part), size + more
                 held.append(row)
         if held:
             yield done(held)
