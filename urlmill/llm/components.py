@@ -86,7 +86,9 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         large = join_back(both.where("v > u"), low, "u").where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b"))
         # small star: a node and its smaller neighbours link to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = join_back(large, low, "b").select("m", F.explode(F.array("a", "b")).alias("v")).where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        # A node's link to the smallest names the node, each other link the neighbour: one row a link.
+        named = F.when(F.col("a") != F.col("m"), F.col("a")).otherwise(F.col("b"))
+        small = join_back(large, low, "b").select(F.col("m").alias("a"), named.alias("b")).distinct()
         state = materialize(contracted(small), tag)
         now = _print(state)
         if now == seen:
