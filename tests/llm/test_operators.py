@@ -170,7 +170,7 @@ def test_contracted_links(spark, monkeypatch):
     for held in (1, 7, 500_000):
         monkeypatch.setattr(c, "HELD", held)
         d = spark.createDataFrame(links, "a long, b long").repartition(3)
-        assert {x for row in c.contracted(d).collect() for x in row} == set(parent)
+        assert {x for row in c.contracted(d, len(links)).collect() for x in row} == set(parent)
         assert {x.node: x.component for x in components(d).collect()} == want
 
 

@@ -31,8 +31,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[top[shown]], ids[shown]
 
 
-def contracted(links: DataFrame) -> DataFrame:
-    """Links (a, b) as stars of what each task holds, at most HELD links of it at a time; components and nodes stay the same."""
+def contracted(links: DataFrame, count: int) -> DataFrame:
+    """The `count` links (a, b) of a written table as stars of what each task holds, at most HELD links of it at a time; components and nodes stay the same.
+    As many tasks as HELD asks for, whatever the number of files: the more links meet in a task, the more of them it drops."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -59,7 +60,7 @@ def contracted(links: DataFrame) -> DataFrame:
             yield from out(*stars())
         tidy()
 
-    return links.mapInArrow(run, "a long, b long")
+    return links.coalesce(max(1, -(-count // HELD))).mapInArrow(run, "a long, b long")
 
 
 def _print(state: DataFrame) -> tuple:
@@ -71,11 +72,12 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """(node, component) of every node of links (a, b: long); component is the smallest node that links reach.
 
     A node's smallest neighbour is a map-side-combined minimum that is joined back (a join that AQE splits where it is skewed), so no task holds
-    the neighbours of one node. Before each round, tasks contract the links they happen to hold. Each round is written to the shared folder; their number grows with the
+    the neighbours of one node. Before each round, tasks contract the links of about HELD rows each. Each round is written to the shared folder; their number grows with the
     logarithm of the longest chain. Links with a null or equal end only name their nodes.
     """
     pairs = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
-    edges = materialize(contracted(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), tag)
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tag)
+    edges = materialize(contracted(pairs, pairs.count()), tag)
     nodes = edges.select("a").union(edges.select("b")).distinct()
     state = edges.where("a < b")
     seen = _print(state)
@@ -89,7 +91,8 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         # A node's link to the smallest names the node, each other link the neighbour: one row a link.
         named = F.when(F.col("a") != F.col("m"), F.col("a")).otherwise(F.col("b"))
         small = join_back(large, low, "b").select(F.col("m").alias("a"), named.alias("b")).distinct()
-        state = materialize(contracted(small), tag)
+        small = materialize(small, tag)
+        state = materialize(contracted(small, small.count()), tag)
         now = _print(state)
         if now == seen:
             break
