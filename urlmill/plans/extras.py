@@ -10,17 +10,6 @@ from .common import parts_sql, quoted, table
 from .tables import _S, _scored
 from .urls import SOURCE, SQL_TRAIN_REJECT, all_urls
 
-_HOSTS = ["login.example.co.uk", "someone.github.io", "8.8.8.8", "a.b.example.org", "co.uk", "example", "x.s3.amazonaws.com", "www.Example.COM.", ""]
-
-
-def public_domains(spark, sf):
-    h = spark.createDataFrame([(x,) for x in _HOSTS], "host string")
-    return h.select("host", domains.public_domain(F.col("host")).alias("icann"), domains.group_domain(F.col("host")).alias("grouped"))
-
-
-_ANSWERS = [("example.co.uk", "example.co.uk"), ("github.io", "someone.github.io"), (None, "8.8.8.8"), ("example.org", "example.org"), (None, "co.uk"), (None, "example"), ("amazonaws.com", "x.s3.amazonaws.com"), ("example.com", "example.com"), (None, "")]
-SQL_DOMAINS = "SELECT * FROM (VALUES " + ", ".join(f"({quoted(h)}, {'NULL' if a is None else quoted(a)}, {quoted(b)})" for h, (a, b) in zip(_HOSTS, _ANSWERS)) + ") t(host, icann, grouped)"
-
 
 def page_domains(spark, sf):
     u = urls.parse(F.col("url"))
@@ -105,7 +94,7 @@ def shuffle_control(spark, sf):
 SQL_CONTROL = "WITH a AS (SELECT quality, row_number() OVER (ORDER BY doc_id) AS n FROM labels), b AS (SELECT quality AS shuffled, row_number() OVER (ORDER BY sha256('ctl|' || doc_id), doc_id) AS n FROM labels) SELECT count(*) AS n, round(avg(CASE WHEN quality = shuffled THEN 1 ELSE 0 END), 6) AS agreement FROM a JOIN b USING (n)"
 
 _ALL = {
-    public_domains: SQL_DOMAINS, page_domains: SQL_PAGE_DOMAINS, client_lists: SQL_CLIENT, page_reasoning: SQL_REASONING, badges: SQL_BADGES, batch_scores: SQL_BATCH, decision_outcomes: SQL_OUTCOMES, split_summary: SQL_SPLITS, group_sizes: SQL_GROUPS, shuffle_control: SQL_CONTROL,
+    page_domains: SQL_PAGE_DOMAINS, client_lists: SQL_CLIENT, page_reasoning: SQL_REASONING, badges: SQL_BADGES, batch_scores: SQL_BATCH, decision_outcomes: SQL_OUTCOMES, split_summary: SQL_SPLITS, group_sizes: SQL_GROUPS, shuffle_control: SQL_CONTROL,
 }
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: s for f, s in _ALL.items() if s}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import checks, extras, hosts, pages, records, stores, streams, tables, urls
+from .plans import checks, derived, extras, hosts, pages, records, stores, streams, tables, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (urls, pages, tables, extras, checks, records, streams, hosts, stores):
+for _m in (urls, pages, tables, extras, checks, records, streams, hosts, derived, stores):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
