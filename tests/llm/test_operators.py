@@ -128,6 +128,17 @@ def test_jaccard_odd_rows(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {0, None}
 
 
+def test_texts_are_shingled_once(spark):
+    """The pass that measures texts gives their signatures too, and links come from what it wrote."""
+    texts = ["", None, "a b", *[" ".join(prose(40 + i, n, 500)) for i, n in enumerate((3, 5, 60, 400))]]
+    d = docs(spark, texts).select("doc_id", F.col("text").cast("binary").alias("text"))
+    sized = jaccard.measured(d.unionByName(d), 5, 80, 100)
+    want = {i: jaccard.signatures(jaccard.shingles(x.encode() if x else None, 5), 80, 100).view(np.int64).tolist() for i, x in enumerate(texts)}
+    assert Counter((r.doc_id, tuple(r.sigs)) for r in sized.collect()) == {(i, tuple(x)): 2 for i, x in want.items()}
+    got = {(r.sig, r.doc) for r in jaccard.signed(sized.drop("text")).collect()}
+    assert got == {(s, i) for i, x in want.items() for s in x}
+
+
 def test_signatures_and_regions():
     r = random.Random(5)
     for _ in range(25):
@@ -701,6 +712,16 @@ def test_thresholds_bound_false_rejections(spark):
     assert quality.filter_documents(d, labels.limit(0)).count() == 1600
 
 
+def test_texts_are_measured_once(spark, monkeypatch):
+    plain, calls = quality.measures, []
+    monkeypatch.setattr(quality, "measures", lambda *a: calls.append(a) or plain(*a))
+    d = docs(spark, [" ".join(prose(i, 60, 2000)) for i in range(4)] + ["few words"])
+    labels = spark.createDataFrame([(0, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.filter_documents(d, labels)
+    assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 3} and len(calls) == 1
+    assert "xxhash64" not in kept._jdf.queryExecution().toString()
+
+
 def test_steps_are_the_last_that_hold(spark):
     """The steps of three strata, one too small for any, against plain sums."""
     from math import comb

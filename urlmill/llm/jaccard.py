@@ -55,7 +55,10 @@ def _hashes() -> WordHashes:
 def shingles(text: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of a text's k-word shingles; A-Z lower-cased."""
     words = text.lower().split() if text else []
-    return np.unique(grams(_hashes().of(words), k)) if words else NO_ROWS
+    if not words:
+        return NO_ROWS
+    s = np.sort(grams(_hashes().of(words), k))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 @cache
@@ -73,7 +76,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     if not n:
         return NO_ROWS
     c = int(np.searchsorted(first, n, "right")) - 1
-    need = (den - num) * n // num + 1
+    need, scrambled = (den - num) * n // num + 1, mix(s ^ U(0xA5A5A5A5))
     out = []
     for cls in (c, c + 1) if den * n >= num * first[c + 1] else (c,):
         m = max(1, int(np.ceil((first[cls + 1] - 1) * (den - num) / num * SLACK)))
@@ -81,10 +84,10 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         while True:
             at = ((s >> U(32)) * U(m)) >> U(32)
             starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            sizes = np.diff(starts, append=n)
-            sig = mix(np.add.reduceat(mix(s ^ U(0xA5A5A5A5)), starts) + mix(at[starts] + U((cls << 40) + (level << 48) + 1)))
+            sig = mix(np.add.reduceat(scrambled, starts) + mix(at[starts] + U((cls << 40) + (level << 48) + 1)))
             if len(sig) >= need:
                 if len(sig) > need:
+                    sizes = np.concatenate([starts[1:], [n]]) - starts
                     key = (np.minimum(sizes, 255).astype(np.uint64) << U(56)) | (sig >> U(8))
                     sig = sig[np.argpartition(key, len(key) - need)[len(key) - need :]]
                 out.append(sig)
@@ -94,15 +97,15 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(sig, doc): the signatures of documents. Equal signatures inside a task meet there: what follows the first is a pair of rows under a signature of
+def signed(sized: DataFrame) -> DataFrame:
+    """(sig, doc): the signatures of measured documents. Equal signatures inside a task meet there: what follows the first is a pair of rows under a signature of
     its own, which links the two documents just as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ids, held = [], [], 0
+        sigs, docs, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, doc = np.concatenate(sigs), np.repeat(np.array([i for i, _ in ids], np.int64), [n for _, n in ids])
+            sig, doc = np.concatenate(sigs), np.concatenate(docs)
             order = np.argsort(sig, kind="stable")
             sig, doc = sig[order], doc[order]
             head = np.concatenate([[True], sig[1:] != sig[:-1]])
@@ -115,40 +118,40 @@ def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out_s[x : x + 100_000].view(np.int64)), pa.array(out_d[x : x + 100_000])], names=["sig", "doc"])
 
         for batch in slices(batches):
-            for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                s = signatures(shingles(t, k), num, den)
-                if len(s) and i is not None:
-                    sigs.append(s)
-                    ids.append((i, len(s)))
-                    held += len(s)
-                if held > 2_000_000:
-                    yield from flush()
-                    sigs, ids, held = [], [], 0
+            lists = batch["sigs"]
+            sigs.append(lists.flatten().to_numpy().view(np.uint64))
+            docs.append(np.repeat(batch["doc_id"].to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)))
+            held += len(sigs[-1])
+            if held > 2_000_000:
+                yield from flush()
+                sigs, docs, held = [], [], 0
         if held:
             yield from flush()
-        _hashes().clear()
         tidy()
 
-    return docs.mapInArrow(run, "sig long, doc long")
+    return sized.where("n_shingles > 0 and doc_id is not null").select("doc_id", "sigs").mapInArrow(run, "sig long, doc long")
 
 
-def measured(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, and two fingerprints of the set."""
+def measured(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, two fingerprints of the set, and its signatures: texts are cut to shingles once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n, f, g = [], [], []
+            n, f, g, sigs = [], [], [], []
             for t in batch["text"].to_pylist():
                 s = shingles(t, k)
                 n.append(len(s))
                 f.append(int(mix(s).sum(dtype=np.uint64)) if len(s) else 0)
                 g.append(int(mix(s ^ U(0x5BD1E995)).sum(dtype=np.uint64)) if len(s) else 0)
+                sigs.append(signatures(s, num, den))
             both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f, g)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), *both], names=["doc_id", "n_shingles", "f", "g"])
+            ends = pa.array(np.cumsum([0, *map(len, sigs)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([NO_ROWS, *sigs]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), *both, lists], names=["doc_id", "n_shingles", "f", "g", "sigs"])
         _hashes().clear()
         tidy()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f long, g long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f long, g long, sigs array<long>")
 
 
 class Sets:
@@ -247,10 +250,11 @@ def links(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bound: int
     if not 5 * den < 9 * num < 9 * den:
         raise ValueError("the threshold must lie above 5/9 and below 1")
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    sized = materialize(measured(raw, k), "jaccard")
+    sized = materialize(measured(raw, k, num, den), "jaccard")
     low = F.min("doc").over(Window.partitionBy("sig"))
-    stars = signed(raw, k, num, den).withColumn("low", low).where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b"))
+    stars = signed(sized).withColumn("low", low).where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b"))
     region = components(stars, "jaccard-stars").toDF("doc_id", "region")
+    sized = sized.drop("sigs")
     return sized, inside(raw, sized, region, k, num, den, bound, max_shingles)
 
 
