@@ -1,6 +1,7 @@
 """Streams with expiring state against the batch folds, frame decoding at every cut, and the as-of join against brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,28 @@ def test_expired_state_is_gone(spark):
     assert sorted(r.key for r in held) == ["late", "long"]
 
 
+def test_keys_share_buckets(spark):
+    """Folds of many keys in one call give the rows of folds key by key, and what expires leaves the bucket."""
+    rows = [(i, float(i + 1), 100.0) for i in range(20)] + [(77, 90_000.0, 100.0), (77, 90_100.0, 100.0), (77, 90_101.0, 100.0), (78, 5.0, 10.0**6), (None, 3.0, 10.0), (None, 4.0, 10.0)] + [(77, 170_000.0 + i, 100.0) for i in range(3)]
+    d = spark.createDataFrame(rows, "key long, at double, ttl double")
+    out = replay(d, "at", lambda s: expiry.ttl_cache(s, buckets=1), parts=3)
+    want = replay(d, "at", expiry.ttl_cache, parts=3)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect())) and out.count() == len(rows)
+    held = spark.read.format("statestore").load(out._checkpoint).select("value.*").collect()
+    assert [sorted(x.groupState.names) for x in held] == [[77, 78]]
+
+    r = random.Random(8)
+    rows = [(r.randint(0, 30), t * 50, r.random() < 0.2, r.choice(["lookup", "result"])) for t in range(3000)]
+    d = spark.createDataFrame(rows, "client long, at long, ok boolean, kind string")
+    for fold in (
+        lambda s, n: expiry.rate_limit(s, 3, 9_000, buckets=n),
+        lambda s, n: expiry.host_cache(s.withColumnRenamed("client", "host").withColumnRenamed("ok", "keep"), 9_000, buckets=n),
+        lambda s, n: expiry.idle_gaps(s.withColumnRenamed("client", "scan_id").withColumnRenamed("ok", "terminal"), 500, 9_000, buckets=n),
+    ):
+        got, each = (Counter(map(tuple, replay(d, "at", lambda s: fold(s, n)).collect())) for n in (4, None))
+        assert got == each and got
+
+
 def test_limits_over_restarts(spark):
     r = random.Random(4)
     rows = [(r.choice("abc"), float(t), r.random() < 0.1) for t in sorted(r.sample(range(40_000), 300))]

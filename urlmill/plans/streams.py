@@ -19,6 +19,11 @@ def _hits(rows, key):  # noqa: ANN001, ANN202
     return rows.groupBy(key).agg(lookups.alias("lookups"), hits.alias("hits"), (lookups - hits).alias("loads"))
 
 
+def _buckets(rows) -> int:  # noqa: ANN001
+    """Buckets of keys for a replay: one for about 20,000 rows, so that calls follow the rows, not the keys, and no bucket grows with the table."""
+    return max(16, rows.count() // 20_000)
+
+
 def stream_ttl_cache(spark, sf):
     """Every event looks up its user; entries live for a day and then leave the state."""
     rows = _seconds(spark, sf).select("user_id", "at", F.lit(86_400).alias("ttl"))
@@ -28,13 +33,15 @@ def stream_ttl_cache(spark, sf):
 def stream_dual_ttl_cache(spark, sf):
     """As above; what an error loads lives longer."""
     rows = _seconds(spark, sf).select("user_id", "at", F.when(F.col("event_type") == "error", 864_000).otherwise(90_000).alias("ttl"))
-    return _hits(replay(rows, "at", lambda s: expiry.ttl_cache(s, "user_id", strict=False), tag="dual"), "user_id")
+    many = _buckets(rows)
+    return _hits(replay(rows, "at", lambda s: expiry.ttl_cache(s, "user_id", strict=False, buckets=many), tag="dual"), "user_id")
 
 
 def stream_rate_limit(spark, sf):
     """Errors are failed attempts, purchases successes."""
     rows = _seconds(spark, sf).where("event_type in ('error', 'purchase')").select("user_id", "at", (F.col("event_type") == "purchase").alias("ok"))
-    out = replay(rows, "at", lambda s: expiry.rate_limit(s, 5, 864_000, "user_id"), tag="limit")
+    many = _buckets(rows)
+    out = replay(rows, "at", lambda s: expiry.rate_limit(s, 5, 864_000, "user_id", buckets=many), tag="limit")
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("outcome") == "refused").alias("refused"), F.count_if(F.col("outcome") == "failed").alias("failures"))
 
 
@@ -42,7 +49,8 @@ def stream_host_cache(spark, sf):
     """Views and errors are results, of which errors may not be kept; other events look up."""
     kind = F.when(F.col("event_type").isin("view", "error"), "result").otherwise("lookup")
     rows = _seconds(spark, sf).select(F.col("user_id").alias("host"), "at", kind.alias("kind"), (F.col("event_type") == "view").alias("keep"))
-    out = replay(rows, "at", lambda s: expiry.host_cache(s, 172_800), tag="host")
+    many = _buckets(rows)
+    out = replay(rows, "at", lambda s: expiry.host_cache(s, 172_800, buckets=many), tag="host")
     return out.groupBy("host").agg(F.count(F.lit(1)).alias("lookups"), F.count_if("hit").alias("hits"))
 
 
@@ -59,7 +67,9 @@ def _scans(spark, sf):  # noqa: ANN001, ANN202
 
 def stream_idle_gaps(spark, sf):
     """Gaps of an hour or more between a user's events, until a purchase or three days of silence."""
-    return replay(_scans(spark, sf), "at", lambda s: expiry.idle_gaps(s, 3_600, 259_200), tag="gaps")
+    rows = _scans(spark, sf)
+    many = _buckets(rows)
+    return replay(rows, "at", lambda s: expiry.idle_gaps(s, 3_600, 259_200, buckets=many), tag="gaps")
 
 
 def idle_gaps(spark, sf):
