@@ -27,7 +27,8 @@ def _buckets(rows) -> int:  # noqa: ANN001
 def stream_ttl_cache(spark, sf):
     """Every event looks up its user; entries live for a day and then leave the state."""
     rows = _seconds(spark, sf).select("user_id", "at", F.lit(86_400).alias("ttl"))
-    return _hits(replay(rows, "at", lambda s: expiry.ttl_cache(s, "user_id"), tag="ttl"), "user_id")
+    many = _buckets(rows)
+    return _hits(replay(rows, "at", lambda s: expiry.ttl_cache(s, "user_id", buckets=many), tag="ttl"), "user_id")
 
 
 def stream_dual_ttl_cache(spark, sf):
