@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.urls import PATTERN
 
@@ -36,3 +37,10 @@ def entropy_sql(text: str) -> str:
 
 def count_sql(text: str, piece: str) -> str:
     return f"CAST(length({text}) - length(replace({text}, '{piece}', '')) AS INT)"
+
+
+def rounded(x: str | Column, digits: int) -> Column:
+    """A double rounded as DuckDB's round does, which the twins use: the product with 10^digits goes to the nearest number, halves away from zero, and the sign stays on zero. Spark's round goes by the decimal digits instead."""
+    x = F.col(x) if isinstance(x, str) else x
+    near = F.round(F.abs(x) * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+    return F.when(near == 0, x * 0.0).when(x < 0, -near).otherwise(near)
